@@ -1,0 +1,20 @@
+"""Size-checked broadcast: broadcast a side only after counting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+# Row limit for an explicitly broadcast side; above it the join shuffles (and AQE may still
+# switch strategy at runtime from real sizes).
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` when ``df`` has at most ``limit`` rows, else ``(df, False)``.
+
+    The count runs on ``df.limit(limit + 1)`` so an oversized side is not fully counted.
+    """
+    n = df.limit(limit + 1).count()
+    if n <= limit:
+        return F.broadcast(df), True
+    return df, False

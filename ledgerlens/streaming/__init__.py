@@ -1,0 +1,8 @@
+"""Streaming.
+
+The modelled workload is batch-only: it has no watermark, stream window,
+stateful operator or late-data handling. Every operator in ``ledgerlens`` is a
+plain DataFrame function, so it can be applied inside ``foreachBatch`` of a
+Structured Streaming query when micro-batch scoring is wanted; nothing here
+adds stream-specific state.
+"""
