@@ -85,3 +85,49 @@ def ordered_split(df: DataFrame, order_cols: list[str], validation_share: float
     return (pos.withColumn(out_col, F.when(F.col("_pos") >= F.lit(n - n_val), F.lit("validation"))
                                      .otherwise(F.lit("train")))
                .drop("_pos"))
+
+
+def prefix_sums(df: DataFrame, order_cols: list, sum_cols: list[str], num_partitions: int | None = None,
+                suffix: str = "_cum") -> DataFrame:
+    """Inclusive running sums of ``sum_cols`` in ``order_cols`` order, without a global window.
+
+    Range-partition + sort, running sums inside each partition (Arrow batches), one row of
+    totals per partition to the driver, broadcast offsets. ``order_cols`` must be unique.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+
+    n = _partition_count(df, num_partitions)
+    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    schema = ranged.schema
+    for c in sum_cols:
+        schema = schema.add(f"{c}{suffix}", "double")
+    schema = schema.add("_pid", "int")
+
+    def run(batches):
+        pid = TaskContext.get().partitionId()
+        carry = {c: 0.0 for c in sum_cols}
+        for b in batches:
+            for c in sum_cols:
+                cs = b[c].astype("float64").cumsum() + carry[c]
+                if len(cs):
+                    carry[c] = float(cs.iloc[-1])
+                b[f"{c}{suffix}"] = cs
+            b["_pid"] = pid
+            yield b
+
+    local = cut_lineage(ranged.mapInPandas(run, schema))
+    totals = local.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()  # per partition
+    rows, run_tot = [], {c: 0.0 for c in sum_cols}
+    for r in sorted(totals, key=lambda r: r["_pid"]):
+        rows.append((int(r["_pid"]), *[run_tot[c] for c in sum_cols]))
+        for c in sum_cols:
+            run_tot[c] += float(r[c] or 0.0)
+    spark = df.sparkSession
+    off_schema = "_pid int, " + ", ".join(f"`_off_{c}` double" for c in sum_cols)
+    off = spark.createDataFrame(rows or [(0, *[0.0] * len(sum_cols))], off_schema)
+    out = local.join(F.broadcast(off), "_pid")  # one row per partition
+    for c in sum_cols:
+        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_off_{c}"))
+    del pd
+    return out.drop("_pid", *[f"_off_{c}" for c in sum_cols])

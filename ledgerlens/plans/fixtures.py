@@ -127,3 +127,55 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOCS_SQL = """docs AS (
   SELECT d.doc_id, d.n_chars, d.lang, d.source, l.toxic AS label
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+# ---------------------------------------------------------------- wide card-like table
+# Columns blanked by the fixture null rule, in rule order j = 0, 1, ...
+WIDE_NULL_COLUMNS = ["l_quantity", "l_discount", "o_orderpriority", "p_brand", "p_size", "c_mktsegment"]
+WIDE_CATEGORICAL = ["o_orderstatus", "o_orderpriority", "p_brand", "p_type", "p_size", "c_mktsegment",
+                    "l_returnflag", "l_linestatus"]
+WIDE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice"]
+
+
+def wide_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with part and customer attributes, a constant column, a 0/1 target
+    (``l_returnflag = 'R'``) and nulls injected by the fixture rule."""
+    from ledgerlens.functions.scalar import blank_by_rule
+
+    tx = transactions(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    w = (tx.join(p, tx["l_partkey"] == p["p_partkey"]).join(c, tx["o_custkey"] == c["c_custkey"])
+           .select("tx_id", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice",
+                   "o_orderstatus", "o_orderpriority", "p_brand", "p_type", "p_size", "c_mktsegment",
+                   "l_returnflag", "l_linestatus", F.lit(1).alias("const_one"),
+                   (F.col("l_returnflag") == "R").cast("int").alias("is_fraud")))
+    return blank_by_rule(w, "tx_id", WIDE_NULL_COLUMNS)
+
+
+def _blank_sql(col: str, j: int) -> str:
+    return f"CASE WHEN (tx_id * 7 + {j * 3}) % 11 = 0 THEN NULL ELSE {col} END AS {col}"
+
+
+WIDE_SQL = TX_SQL + """,
+wide0 AS (
+  SELECT tx_id, l_quantity, l_extendedprice, l_discount, l_tax, o_totalprice, o_orderstatus,
+         o_orderpriority, p_brand, p_type, p_size, c_mktsegment, l_returnflag, l_linestatus,
+         1 AS const_one, CAST(l_returnflag = 'R' AS INTEGER) AS is_fraud
+  FROM tx JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey),
+wide AS (
+  SELECT tx_id, """ + ", ".join(_blank_sql(c, j) for j, c in enumerate(WIDE_NULL_COLUMNS)) + """,
+         l_extendedprice, l_tax, o_totalprice, o_orderstatus, p_type, l_returnflag, l_linestatus,
+         const_one, is_fraud
+  FROM wide0)"""
+
+
+def md5_unit_sql(*parts: str) -> str:
+    """DuckDB text of ``functions.scalar.md5_unit`` (parts are SQL expressions)."""
+    cat = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST(('0x' || substr(md5({cat}), 1, 8)) AS BIGINT) / 4294967296.0)"
+
+
+def ampute_sql(id_col: str, col: str, seed_expr: str, share: float = 0.25) -> str:
+    return (f"CASE WHEN {md5_unit_sql(id_col, repr(col), seed_expr)} < {share} "
+            f"THEN NULL ELSE {col} END AS {col}")
