@@ -94,15 +94,15 @@ def prefix_sums(df: DataFrame, order_cols: list, sum_cols: list[str], num_partit
     Range-partition + sort, running sums inside each partition (Arrow batches), one row of
     totals per partition to the driver, broadcast offsets. ``order_cols`` must be unique.
     """
-    import pandas as pd
     from pyspark import TaskContext
 
     n = _partition_count(df, num_partitions)
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    schema = ranged.schema
-    for c in sum_cols:
-        schema = schema.add(f"{c}{suffix}", "double")
-    schema = schema.add("_pid", "int")
+    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+
+    schema = StructType(list(ranged.schema.fields)
+                        + [StructField(f"{c}{suffix}", DoubleType()) for c in sum_cols]
+                        + [StructField("_pid", IntegerType())])
 
     def run(batches):
         pid = TaskContext.get().partitionId()
@@ -129,5 +129,4 @@ def prefix_sums(df: DataFrame, order_cols: list, sum_cols: list[str], num_partit
     out = local.join(F.broadcast(off), "_pid")  # one row per partition
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_off_{c}"))
-    del pd
     return out.drop("_pid", *[f"_off_{c}" for c in sum_cols])

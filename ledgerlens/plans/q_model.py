@@ -41,12 +41,14 @@ def q_class_weights(spark, d):
     return w.select("label", F.round("weight", 6).alias("weight"))
 
 
-def _metrics_sql(group: str) -> str:
+def _metrics_sql(group: str, digits: int | None = 6) -> str:
+    def r(e):
+        return f"round({e}, {digits})" if digits is not None else e
     return f"""SELECT {group}
-  round(CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END, 6) AS accuracy,
-  round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
-  round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
-  round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1_score"""
+  {r("CASE WHEN tp + tn + fp + fn = 0 THEN 0.0 ELSE (tp + tn) / (tp + tn + fp + fn) END")} AS accuracy,
+  {r("CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END")} AS precision,
+  {r("CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END")} AS recall,
+  {r("CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END")} AS f1_score"""
 
 
 CM_SQL = """,
@@ -74,7 +76,7 @@ fpred AS (SELECT f.repeat, f.fold, s.label, s.prediction FROM fp0 f JOIN scored
 
 @register("cv_summary", sql=FOLD_PRED_SQL + CM_SQL.format(g="repeat, fold,", src="fpred", grp="GROUP BY repeat, fold")
           + """,
-m AS (""" + _metrics_sql("repeat, fold,").replace("round(", "(") + """ FROM cm),
+m AS (""" + _metrics_sql("repeat, fold,", None) + """ FROM cm),
 lng AS (SELECT 'score_rule' AS experiment, 'accuracy' AS metric, accuracy AS value FROM m
         UNION ALL SELECT 'score_rule', 'precision', precision FROM m
         UNION ALL SELECT 'score_rule', 'recall', recall FROM m

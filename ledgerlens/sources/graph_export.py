@@ -47,5 +47,6 @@ def export_edges(df: DataFrame, src: str, dst: str, rel_type: str = "transaction
 def read_export(spark: SparkSession, data: str, head: str) -> DataFrame:
     """Read an export back with the names from its header file (types given as text)."""
     header = spark.read.text(head).first()[0].split(",")
-    ddl = ", ".join(f"`{h}` string" for h in header)
+    back = {"int": "bigint", "float": "double"}
+    ddl = ", ".join(f"`{h}` {back.get(h.rsplit(':', 1)[-1], 'string')}" for h in header)
     return spark.read.option("header", False).schema(ddl).csv(data)
