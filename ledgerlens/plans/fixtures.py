@@ -179,3 +179,29 @@ def md5_unit_sql(*parts: str) -> str:
 def ampute_sql(id_col: str, col: str, seed_expr: str, share: float = 0.25) -> str:
     return (f"CASE WHEN {md5_unit_sql(id_col, repr(col), seed_expr)} < {share} "
             f"THEN NULL ELSE {col} END AS {col}")
+
+
+# ---------------------------------------------------------------- supplier graphs
+def supplier_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.operators.graph.build import entity_signature
+    return entity_signature(supplier_rows(spark, sf_dir), ["s_suppkey"], ["s_nationkey"])
+
+
+def supplier_ledger_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("txId"), F.col("s_acctbal").alias("f_bal"))
+
+
+def supplier_ledger_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers of one nation (``txId1 < txId2``): the one-mode projection of
+    supplier -> nation (salted for nations holding many suppliers)."""
+    from ledgerlens.operators.graph.project import one_mode_projection
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    proj = one_mode_projection(s, account="s_suppkey", device="s_nationkey")
+    return proj.select(F.col("start").alias("txId1"), F.col("end").alias("txId2"))
+
+
+SUPP_LEDGER_SQL = """lnodes AS (SELECT s_suppkey AS id FROM supplier),
+ledges AS (SELECT a.s_suppkey AS txId1, b.s_suppkey AS txId2 FROM supplier a JOIN supplier b
+           ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey),
+ladj AS (SELECT txId1 AS src, txId2 AS dst FROM ledges UNION ALL SELECT txId2, txId1 FROM ledges)"""

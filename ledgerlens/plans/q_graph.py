@@ -114,3 +114,191 @@ def mono_degree(spark, d):
 
 
 register("degree", sql=MONO_DEGREE_SQL)(mono_degree)
+
+
+# ---------------------------------------------------------------- iterative metrics
+from ledgerlens.operators.graph.betweenness import betweenness  # noqa: E402
+from ledgerlens.operators.graph.build import Graph  # noqa: E402
+from ledgerlens.operators.graph.components import connected_components  # noqa: E402
+from ledgerlens.operators.graph.hits import hits  # noqa: E402
+from ledgerlens.operators.graph.louvain import louvain  # noqa: E402
+from ledgerlens.operators.graph.metrics import (  # noqa: E402
+    group_size, join_bipartite_metrics, join_edge_metrics, join_group_size, join_mono_metrics, node_metrics,
+)
+from ledgerlens.operators.graph.pagerank import pagerank  # noqa: E402
+from ledgerlens.plans.graph_sql import hits_sql, pagerank_sql, r6  # noqa: E402
+
+METRICS = ["degree", "pagerank", "hits_auth", "hits_hub", "betweenness", "wcc_size", "community_size"]
+
+
+def _r6(df, cols):
+    return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def chain_graph(spark, d, orientation="natural"):
+    nodes = fx.ledger_nodes(spark, d).select(F.col("txId").alias("id"), F.lit("node").alias("label"))
+    edges = fx.ledger_edges(spark, d).select(F.col("txId1").alias("src"), F.col("txId2").alias("dst"),
+                                             F.lit("transaction").alias("type"))
+    return graph_projection(Graph(nodes, edges), orientation=orientation)
+
+
+CHAIN_SQL = "WITH " + fx.LEDGER_EDGES_SQL + """,
+cnodes AS (SELECT o_orderkey AS id FROM orders),
+cadj AS (SELECT txId1 AS src, txId2 AS dst FROM edges),
+uadj AS (SELECT txId1 AS src, txId2 AS dst FROM edges UNION ALL SELECT txId2, txId1 FROM edges),
+""" + fx.CHAIN_POS_SQL
+
+
+@register("pagerank", sql=CHAIN_SQL + ",\n" + pagerank_sql("cnodes", "cadj") + "\nSELECT id, " + r6("pagerank")
+          + " FROM pr")
+def q_pagerank(spark, d):
+    return _r6(pagerank(chain_graph(spark, d)), ["pagerank"])
+
+
+@register("hits", sql=CHAIN_SQL + ",\n" + hits_sql("cnodes", "cadj") + "\nSELECT id, " + r6("hits_auth") + ", "
+          + r6("hits_hub") + " FROM hits")
+def q_hits(spark, d):
+    return _r6(hits(chain_graph(spark, d)), ["hits_auth", "hits_hub"])
+
+
+@register("connected_components", sql=CHAIN_SQL + " SELECT id, comp AS component FROM chainpos")
+def q_connected_components(spark, d):
+    return connected_components(chain_graph(spark, d, "undirected"))
+
+
+@register("wcc_size", sql=CHAIN_SQL + " SELECT id, L AS wcc_size FROM chainpos")
+def q_wcc_size(spark, d):
+    cc = connected_components(chain_graph(spark, d, "undirected"))
+    return join_group_size(cc, "component", "wcc_size")
+
+
+@register("group_size", sql=CHAIN_SQL + " SELECT comp AS component, count(*) AS size FROM chainpos GROUP BY comp")
+def q_group_size(spark, d):
+    return group_size(connected_components(chain_graph(spark, d, "undirected")), "component")
+
+
+@register("join_group_size", sql="""
+SELECT s_suppkey AS id, count(*) OVER (PARTITION BY s_nationkey) AS size FROM supplier""")
+def q_join_group_size(spark, d):
+    assign = fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("g"))
+    return join_group_size(assign, "g", "size")
+
+
+@register("betweenness", sql=CHAIN_SQL + """
+SELECT id, CAST((i - 1) * (L - i) AS DOUBLE) AS betweenness FROM chainpos""")
+def q_betweenness(spark, d):
+    return _r6(betweenness(chain_graph(spark, d, "undirected")), ["betweenness"])
+
+
+# ---- supplier graphs: one-mode projection on nation = disjoint cliques (exact oracles)
+SUPP_MONO_SQL = "WITH " + fx.SUPP_SIG_SQL + """,
+cells AS (SELECT start_node_id AS account, end_node_id AS device, count(*) AS n FROM sig GROUP BY 1, 2),
+proj AS (SELECT x.account AS "start", y.account AS "end", sum(x.n * y.n) AS strength
+         FROM cells x JOIN cells y ON x.device = y.device AND x.account < y.account GROUP BY 1, 2),
+mnodes AS (SELECT DISTINCT start_node_id AS id FROM sig),
+madj AS (SELECT "start" AS src, "end" AS dst FROM proj UNION ALL SELECT "end", "start" FROM proj),
+clique AS (SELECT start_node_id AS id, min(start_node_id) OVER (PARTITION BY s_nationkey) AS community,
+                  count(*) OVER (PARTITION BY s_nationkey) AS size FROM sig),
+mdeg AS (SELECT n.id, CAST(coalesce(c.d, 0) AS DOUBLE) AS degree FROM mnodes n
+         LEFT JOIN (SELECT src, count(*) AS d FROM madj GROUP BY src) c ON n.id = c.src),
+""" + pagerank_sql("mnodes", "madj", "mpr") + ",\n" + hits_sql("mnodes", "madj", "mh") + """,
+mmetrics AS (
+  SELECT d.id, d.degree, round(p.pagerank, 6) AS pagerank, round(h.hits_auth, 6) AS hits_auth,
+         round(h.hits_hub, 6) AS hits_hub, 0.0::DOUBLE AS betweenness, c.size AS wcc_size, c.size AS community_size
+  FROM mdeg d JOIN mpr p ON d.id = p.id JOIN mh h ON d.id = h.id JOIN clique c ON d.id = c.id)"""
+
+
+def supplier_mono(spark, d):
+    sig = fx.supplier_signed(spark, d)
+    return sig, graph_projection(mono_graph(sig, one_mode_projection(sig)), orientation="undirected")
+
+
+def _metrics_rounded(g):
+    return _r6(node_metrics(g), ["pagerank", "hits_auth", "hits_hub", "betweenness"])
+
+
+@register("louvain", sql=SUPP_MONO_SQL + " SELECT id, community FROM clique")
+def q_louvain(spark, d):
+    _, g = supplier_mono(spark, d)
+    return louvain(g)
+
+
+@register("community_size", sql=SUPP_MONO_SQL + " SELECT id, size AS community_size FROM clique")
+def q_community_size(spark, d):
+    _, g = supplier_mono(spark, d)
+    return join_group_size(louvain(g), "community", "community_size")
+
+
+@register("node_metrics", sql=SUPP_MONO_SQL + " SELECT * FROM mmetrics")
+def q_node_metrics(spark, d):
+    _, g = supplier_mono(spark, d)
+    return _metrics_rounded(g)
+
+
+@register("append_mono_metrics", sql=SUPP_MONO_SQL + """
+SELECT s.tx_id, s.s_suppkey, s.s_nationkey, s.s_acctbal, s.start_node_id, s.end_node_id, m.*
+FROM sig s LEFT JOIN mmetrics m ON s.start_node_id = m.id""")
+def q_append_mono_metrics(spark, d):
+    sig, g = supplier_mono(spark, d)
+    return join_mono_metrics(sig, _metrics_rounded(g))
+
+
+alias("join_mono_metrics", "append_mono_metrics")
+
+
+SUPP_BI_SQL = "WITH " + fx.SUPP_SIG_SQL + """,
+bnodes AS (SELECT DISTINCT start_node_id AS id, 'account' AS label FROM sig
+           UNION ALL SELECT DISTINCT end_node_id, 'device' FROM sig),
+badj AS (SELECT start_node_id AS src, end_node_id AS dst FROM sig),
+star AS (SELECT end_node_id AS dev, count(*) + 1 AS size FROM sig GROUP BY 1),
+bsize AS (SELECT s.start_node_id AS id, t.size FROM sig s JOIN star t ON s.end_node_id = t.dev
+          UNION ALL SELECT dev, size FROM star),
+bdeg AS (SELECT n.id, CAST(coalesce(c.d, 0) AS DOUBLE) AS degree FROM bnodes n
+         LEFT JOIN (SELECT src, count(*) AS d FROM badj GROUP BY src) c ON n.id = c.src),
+""" + pagerank_sql("bnodes", "badj", "bpr") + ",\n" + hits_sql("bnodes", "badj", "bh") + """,
+bm AS (
+  SELECT n.id, n.label, d.degree, round(p.pagerank, 6) AS pagerank, round(h.hits_auth, 6) AS hits_auth,
+         round(h.hits_hub, 6) AS hits_hub, 0.0::DOUBLE AS betweenness, z.size AS wcc_size, z.size AS community_size
+  FROM bnodes n JOIN bdeg d ON n.id = d.id JOIN bpr p ON n.id = p.id JOIN bh h ON n.id = h.id
+  JOIN bsize z ON n.id = z.id)"""
+
+
+@register("append_bipartite_metrics", sql=SUPP_BI_SQL + """
+SELECT s.tx_id, s.s_suppkey, s.s_nationkey, s.s_acctbal, s.start_node_id, s.end_node_id,
+       """ + ", ".join(f"a.{m} AS acc_{m}" for m in METRICS) + ", " + ", ".join(f"v.{m} AS dev_{m}" for m in METRICS) + """
+FROM sig s LEFT JOIN (SELECT * FROM bm WHERE label = 'account') a ON s.start_node_id = a.id
+LEFT JOIN (SELECT * FROM bm WHERE label = 'device') v ON s.end_node_id = v.id""")
+def q_append_bipartite_metrics(spark, d):
+    sig = fx.supplier_signed(spark, d)
+    g = bipartite_graph(sig, props=[])
+    return join_bipartite_metrics(sig, _metrics_rounded(graph_projection(g)), g.nodes)
+
+
+alias("join_bipartite_metrics", "append_bipartite_metrics")
+
+
+LEDGER_SUPP_SQL = "WITH " + fx.SUPP_LEDGER_SQL + """,
+lclique AS (SELECT s_suppkey AS id, count(*) OVER (PARTITION BY s_nationkey) AS size FROM supplier),
+ldeg AS (SELECT n.id, CAST(coalesce(c.d, 0) AS DOUBLE) AS degree FROM lnodes n
+         LEFT JOIN (SELECT src, count(*) AS d FROM ladj GROUP BY src) c ON n.id = c.src),
+""" + pagerank_sql("lnodes", "ladj", "lpr") + ",\n" + hits_sql("lnodes", "ladj", "lh") + """,
+lm AS (
+  SELECT d.id, d.degree, round(p.pagerank, 6) AS pagerank, round(h.hits_auth, 6) AS hits_auth,
+         round(h.hits_hub, 6) AS hits_hub, 0.0::DOUBLE AS betweenness, c.size AS wcc_size, c.size AS community_size
+  FROM ldeg d JOIN lpr p ON d.id = p.id JOIN lh h ON d.id = h.id JOIN lclique c ON d.id = c.id)"""
+
+
+@register("append_edge_metrics", sql=LEDGER_SUPP_SQL + """
+SELECT e.txId1 AS txId_from, e.txId2 AS txId_to,
+       """ + ", ".join(f"f.{m} AS {m}_from" for m in METRICS) + ", " + ", ".join(f"t.{m} AS {m}_to" for m in METRICS) + """
+FROM ledges e LEFT JOIN lm f ON e.txId1 = f.id LEFT JOIN lm t ON e.txId2 = t.id""")
+def q_append_edge_metrics(spark, d):
+    nodes = fx.supplier_ledger_nodes(spark, d).select(F.col("txId").alias("id"), F.lit("node").alias("label"))
+    edges = fx.supplier_ledger_edges(spark, d)
+    g = graph_projection(Graph(nodes, edges.select(F.col("txId1").alias("src"), F.col("txId2").alias("dst"))),
+                         orientation="undirected")
+    rows = edges.select(F.col("txId1").alias("txId_from"), F.col("txId2").alias("txId_to"))
+    return join_edge_metrics(rows, _metrics_rounded(g)).drop("id_from", "id_to")
+
+
+alias("join_edge_metrics", "append_edge_metrics")
