@@ -133,3 +133,68 @@ def q_auc_with_fallback(spark, d):
     """Scores of the positive rows only: one class present, so the area falls back to 0.5."""
     pos_only = scored_documents(spark, d).where(F.col("label") == 1)
     return auc_with_fallback(pos_only, "label", "score").select(F.round("auc", 6).alias("auc"))
+
+
+# ------------------------------------------------------------------ forests (rows-only)
+from ledgerlens.operators.encode import label_encode  # noqa: E402
+from ledgerlens.operators.model.importance import feature_importance, top_k_importances  # noqa: E402
+from ledgerlens.operators.model.search import rf_random_search  # noqa: E402
+from ledgerlens.operators.model.train import (  # noqa: E402
+    assemble_features, fit_forest, model_store, predict_proba, rf_cross_validate,
+)
+from ledgerlens.session import stage_path  # noqa: E402
+
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "lang", "source"]
+
+
+def document_features(spark, d):
+    """Classifier rows with text statistics over whole texts and label-encoded categories."""
+    docs = fx.table(spark, d, "documents")
+    lab = fx.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    base = docs.select("doc_id", "n_chars", F.size(F.split("text", r"\s+")).alias("n_words"),
+                       F.size(F.split("text", "\n")).alias("n_lines"), "lang", "source")
+    coded, _ = label_encode(base, ["lang", "source"])
+    return assemble_features([coded, lab], "doc_id", DOC_FEATURES)
+
+
+@register("rf_cross_validate")
+def q_rf_cross_validate(spark, d):
+    metrics, _ = rf_cross_validate(document_features(spark, d), "doc_id", "label", "features",
+                                   params={"numTrees": 50}, k=10, repeats=3, seed=2022, parallelism=4)
+    return metrics
+
+
+@register("predict_proba")
+def q_predict_proba(spark, d):
+    feats = document_features(spark, d)
+    return predict_proba(fit_forest(feats, params={"numTrees": 50}), feats, "doc_id")
+
+
+def _importances(spark, d):
+    feats = document_features(spark, d)
+    return feature_importance(spark, fit_forest(feats, params={"numTrees": 50}), DOC_FEATURES)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, d):
+    return _importances(spark, d)
+
+
+@register("top_k_importances")
+def q_top_k_importances(spark, d):
+    return top_k_importances(_importances(spark, d), 30)
+
+
+@register("model_store")
+def q_model_store(spark, d):
+    feats = document_features(spark, d)
+    model = fit_forest(feats, params={"numTrees": 50})
+    loaded = model_store(model, stage_path(spark, "rf_model"))
+    return predict_proba(loaded, feats, "doc_id")
+
+
+@register("rf_random_search")
+def q_rf_random_search(spark, d):
+    results, _, _ = rf_random_search(document_features(spark, d), "doc_id", n_iter=3, k=3, repeats=1,
+                                     seed=2022, parallelism=3)
+    return results
