@@ -11,12 +11,15 @@ from ledgerlens.operators.model.folds import folds_sql, stratified_folds
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans.registry import register
 
-SCORE = F.col("n_chars") / F.lit(20000.0)
+def _score():
+    return F.col("n_chars") / F.lit(20000.0)
+
+
 SCORE_SQL = "n_chars / 20000.0"
 
 
 def scored_documents(spark, d):
-    return fx.labelled_documents(spark, d).withColumn("score", SCORE).withColumn(
+    return fx.labelled_documents(spark, d).withColumn("score", _score()).withColumn(
         "prediction", (F.col("score") >= 1.0).cast("int"))
 
 
@@ -198,3 +201,9 @@ def q_rf_random_search(spark, d):
     results, _, _ = rf_random_search(document_features(spark, d), "doc_id", n_iter=3, k=3, repeats=1,
                                      seed=2022, parallelism=3)
     return results
+
+
+@register("compare_experiments")
+def q_compare_experiments(spark, d):
+    from ledgerlens.plans.experiments import compare_experiments
+    return compare_experiments(spark, d, k=3, repeats=1, params={"numTrees": 20})
