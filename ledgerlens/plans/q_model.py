@@ -202,8 +202,3 @@ def q_rf_random_search(spark, d):
                                      seed=2022, parallelism=3)
     return results
 
-
-@register("compare_experiments")
-def q_compare_experiments(spark, d):
-    from ledgerlens.plans.experiments import compare_experiments
-    return compare_experiments(spark, d, k=3, repeats=1, params={"numTrees": 20})
