@@ -130,7 +130,9 @@ def q_constant_tag(spark, d):
 SELECT event_id, round((epoch_us(ts) - 1704067200000000) / 1e6 / 86400, 6) AS t_days FROM events""")
 def q_scale_time_unit(spark, d):
     ev = fx.table(spark, d, "events")
-    secs = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(1e6)
+    # timestamp_ntz arithmetic: no session time zone involved
+    origin = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    secs = F.timestamp_diff("MICROSECOND", origin, F.col("ts")) / F.lit(1e6)
     from ledgerlens.functions.scalar import scale_time_unit
     return ev.select("event_id", F.round(scale_time_unit(secs), 6).alias("t_days"))
 
