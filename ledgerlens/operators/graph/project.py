@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.sizing import broadcast_if_small
+from ledgerlens.session import cut_lineage
 
 HOT_DEGREE = 20_000
 
@@ -26,7 +27,9 @@ def pivot_sum(df: DataFrame, account: str = "start_node_id", device: str = "end_
 
 def one_mode_projection(df: DataFrame, account: str = "start_node_id", device: str = "end_node_id",
                         hot_degree: int = HOT_DEGREE) -> DataFrame:
-    cells = pivot_sum(df, account, device)                     # (account, device, exist)
+    # (account, device, exist) is read four times below (degrees, hot list, both join sides):
+    # write it once instead of recomputing the input plan per branch.
+    cells = cut_lineage(pivot_sum(df, account, device))
     deg = cells.groupBy("device").agg(F.count(F.lit(1)).alias("k"))  # partial agg per map task
     hot = (deg.where(F.col("k") > hot_degree)
               .select("device", F.ceil(F.col("k") / F.lit(hot_degree)).cast("int").alias("salts")))
