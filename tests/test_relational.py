@@ -53,7 +53,7 @@ def test_auc_literal(spark):
 
 def test_folds_invariants(spark):
     df = spark.range(0, 500).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
-    f = stratified_folds(df, "id", "label", k=10, repeats=3, seed=1, buckets=1)
+    f = stratified_folds(df, "id", "label", k=10, repeats=3, seed=1)
     per = f.groupBy("repeat", "id").count().agg(F.max("count")).first()[0]
     assert per == 1 and f.count() == 1500
     counts = f.groupBy("repeat", "fold", "label").count().groupBy("repeat", "label").agg(
