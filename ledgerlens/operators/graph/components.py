@@ -1,10 +1,10 @@
 """Weakly connected components by alternating large-star / small-star contraction
 (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
 
-Edges are kept as ``(child, parent)`` with ``parent < child``. Rounds are O(log n);
-the loop ends when the edge set is a forest of depth-1 stars (no parent is also a
-child). The component id of a node is the smallest node id in it; isolated nodes
-are their own component.
+Edges are kept as ``(child, parent)`` with ``parent < child``. Rounds are O(log^2 n) at most. The
+loop ends only when the edges are depth-1 stars: no node is both child and parent, and every child
+has one parent. Running out of rounds raises. The component id of a node is the smallest node id in
+it; isolated nodes are their own component.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ledgerlens.session import cut_lineage
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(
         e.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-    m = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return (both.join(m, "u").where(F.col("v") > F.col("u"))
                 .select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct())
 
@@ -31,15 +31,30 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(j.select("child", F.col("m").alias("parent"))).distinct()
 
 
-def connected_components(graph: Graph, out_col: str = "component", max_rounds: int = 100) -> DataFrame:
-    e = (graph.edges.where(F.col("src") != F.col("dst"))
-              .select(F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent"))
-              .distinct())
-    e = cut_lineage(e)
-    for _ in range(max_rounds):
+def _is_stars(e: DataFrame) -> bool:
+    ends = e.select(F.col("child").alias("id"), F.lit(1).alias("c"), F.lit(0).alias("p")).unionByName(
+        e.select(F.col("parent").alias("id"), F.lit(0).alias("c"), F.lit(1).alias("p")))
+    open_ = ends.groupBy("id").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
+    return open_.where("c > 1 or (c = 1 and p = 1)").isEmpty()
+
+
+def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """``(id, component)`` of every node of the undirected edges ``(src, dst)`` that is not the
+    smallest of its component; the smallest nodes and isolated nodes have no row."""
+    e = cut_lineage(
+        edges.where(F.col("src") != F.col("dst"))
+             .select(F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent"))
+             .distinct())
+    rounds = 0
+    while not _is_stars(e):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components not complete after {max_rounds} rounds")
         e = cut_lineage(_small_star(_large_star(e)))
-        parents = e.select(F.col("parent").alias("child")).distinct()
-        if e.join(parents, "child", "left_semi").limit(1).count() == 0:
-            break
-    return (graph.nodes.select("id").join(e.withColumnRenamed("child", "id"), "id", "left")
-                 .select("id", F.coalesce(F.col("parent"), F.col("id")).alias(out_col)))
+        rounds += 1
+    return e.select(F.col("child").alias("id"), F.col("parent").alias("component"))
+
+
+def connected_components(graph: Graph, out_col: str = "component", max_rounds: int = 100) -> DataFrame:
+    e = star_components(graph.edges.select("src", "dst"), max_rounds)
+    return (graph.nodes.select("id").join(e, "id", "left")
+                 .select("id", F.coalesce(F.col("component"), F.col("id")).alias(out_col)))
