@@ -1,8 +1,10 @@
 """Quality classifier: hashed word n-gram logistic regression, FTRL-proximal updates.
 
 Features: tokens are runs of letters and digits (any non-ASCII character counts as a letter) or runs
-of other signs, case kept; their 1- to ``ngrams``-grams are hashed into ``2**bits`` buckets and a
-text is the L2-normalised vector of log(1 + count). No other column is an input.
+of other signs, case kept. Two sequences are read: the tokens, and their shapes (case, digits, signs,
+or how many tokens back the same token stood). The 1- to ``ngrams``-grams of both are hashed into
+``2**bits`` buckets; an n-gram's value is the square root of its share, so every sequence and n has
+length 1. No other column is an input.
 
 Training: a bounded, hash-chosen sample of at most about ``max_train`` labelled documents (the bound
 is a parameter; the texts are whole) is dealt over ``shards`` tasks. Each runs FTRL-proximal over its
@@ -37,19 +39,31 @@ class Settings:
     bits: int = 18
     ngrams: int = 2
     max_train: int = 20_000
-    shards: int = 8
-    epochs: int = 3
-    alpha: float = 0.5
+    shards: int = 4
+    epochs: int = 8
+    alpha: float = 4.0
     beta: float = 1.0
-    l1: float = 0.2
-    l2: float = 0.5
+    l1: float = 0.02
+    l2: float = 0.0
+    back: int = 3
+
+
+def _shape(word: bytes) -> int:
+    first = word[:1]
+    if not (first.isalnum() or first >= b"\x80"):
+        return 0
+    if word.isdigit():
+        return 1
+    return 2 if word.islower() else 3 if word.isupper() and len(word) > 1 else 4
 
 
 class _Hashes(dict):
+    """Token hashes; the lower three bits hold the shape."""
+
     def __missing__(self, word):
         if len(self) > _CACHE_TOKENS:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh64_intdigest(word) & ~7 | _shape(word)
         return h
 
 
@@ -63,16 +77,26 @@ class Features:
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = _TOKEN.findall(utf8(text))
         h = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-        shift, grams, parts = np.uint64(64 - self.s.bits), h, []
-        for n in range(self.s.ngrams):
-            if n:
-                grams = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[n:]
-            # A multiplicative hash: its upper bits pick the bucket.
-            parts.append((grams * np.uint64(0xD6E8FEB86659FD93)) >> shift)
-        at, n = np.unique(np.concatenate(parts).astype(np.int64), return_counts=True)
-        v = np.log1p(n)
-        norm = np.sqrt((v * v).sum())
-        return at, (v / norm if norm else v)
+        shapes = h & np.uint64(7)
+        for d in range(self.s.back, 0, -1):
+            shapes[d:][h[d:] == h[:-d]] = 7 + d
+        shift, at, values = np.uint64(64 - self.s.bits), [], []
+        for sequence in (h, shapes + np.uint64(1)):
+            grams = sequence
+            for n in range(self.s.ngrams):
+                if n:
+                    grams = grams[:-1] * np.uint64(0x9E3779B97F4A7C15) + sequence[n:]
+                if not len(grams):
+                    break
+                # A multiplicative hash: its upper bits pick the bucket.
+                buckets = (grams * np.uint64(0xD6E8FEB86659FD93)) >> shift
+                k, counts = np.unique(buckets.astype(np.int64), return_counts=True)
+                at.append(k)
+                values.append(np.sqrt(counts / len(grams)))
+        if not at:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        at, place = np.unique(np.concatenate(at), return_inverse=True)
+        return at, np.bincount(place, weights=np.concatenate(values))
 
 
 class Ftrl:
