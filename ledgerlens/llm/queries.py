@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import (decontaminate, exact_dedup, packing, quality, simhash, token_counts)
+from ledgerlens.llm import (decontaminate, exact_dedup, licenses, lm, packing, pii, quality, simhash,
+                            token_counts, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,37 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_warc(_table(spark, sf_dir, "pages"))
+
+
+# Base 32 of the SHA-1: its 160 bits in groups of five.
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, sha1(html) AS x, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda k:
+        ['0000','0001','0010','0011','0100','0101','0110','0111',
+         '1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', substr(x, k, 1))]),
+        '') AS bits FROM h)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT)
+           + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT)
+           + CAST(substr(bits, 5 * k + 5, 1) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +114,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_simhash, op4_exact_dedup, op5_token_counts, op6_decontaminate, op10_packing, pipeline)}
+    op1_quality, op2_simhash, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_decontaminate,
+    op7_licenses, op8_pii, op9_warc, op10_packing, pipeline)}
 
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL}
