@@ -13,11 +13,6 @@ def node_id(prefix: str, col: str | Column) -> Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
 
-def first_char(col: str | Column) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.substring(c, 1, 1)
-
-
 def edge_target(class_from: str = "class_from", class_to: str = "class_to", positive: int = 1) -> Column:
     """1 when either endpoint has the positive class, else 0 (unknown counts as 0)."""
     hit = (F.col(class_from) == positive) | (F.col(class_to) == positive)

@@ -2,8 +2,7 @@
 
 ``learn_embedding`` fits a factorization machine (``FMClassifier``) on the one-hot levels of
 the categorical columns against the binary target; the latent factor row of each level is its
-dense vector, truncated to ``embedding_dim``. Training is a distributed ML job; the factor
-matrix is (levels x factor size).
+vector, reduced to ``embedding_dim`` numbers. Training is a distributed ML job.
 """
 
 from __future__ import annotations
@@ -24,54 +23,52 @@ def learn_embedding(df: DataFrame, cols: list[str], label: str, max_iter: int =
                     step_size: float = 0.05) -> DataFrame:
     """``(column, code, vec array<float>)`` for every level code of every column.
 
-    ``cols`` must hold integer codes 0..n-1 (see ``label_encode``).
+    ``cols`` must hold integer codes 0..n-1 (see ``label_encode``). Null is a level of its own, returned
+    with a null code where a column has any; no row is left out. The model learns factors of the largest
+    ``embedding_dim`` for all columns; each column's block is then reduced to its own size by SVD, which
+    keeps the inner products as well as that many numbers can. Spark's model holds levels x factor size
+    numbers on the driver, and so does this.
     """
+    import numpy as np
     from pyspark.ml.classification import FMClassifier
     from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 
     from ledgerlens.operators.profile import profile_nunique
 
     spark = df.sparkSession
-    sizes = {r["column"]: (int(r["nunique"]), int(r["embedding_dim"]))
-             for r in embedding_dim(profile_nunique(df, cols)).collect()}  # one row per column
-    levels = {r["column"]: int(r["m"]) for r in
-              df.select(*[F.max(c).alias(c) for c in cols]).selectExpr(
-                  "stack({}, {}) as (`column`, m)".format(
-                      len(cols), ", ".join(f"'{c}', cast(`{c}` as bigint)" for c in cols))).collect()}
-    factor = max(d for _, d in sizes.values())
-    enc = OneHotEncoder(inputCols=cols, outputCols=[f"_oh_{c}" for c in cols], dropLast=False,
-                        handleInvalid="keep")
-    data = df.select(*cols, F.col(label).cast("double").alias("_y")).na.fill(-1, cols)
-    data = data.select(*[F.when(F.col(c) < 0, None).otherwise(F.col(c)).alias(c) for c in cols], "_y")
-    data = data.na.drop()
-    model_enc = enc.fit(data)
-    data = model_enc.transform(data)
-    data = VectorAssembler(inputCols=[f"_oh_{c}" for c in cols], outputCol="_x").transform(data)
-    fm = FMClassifier(featuresCol="_x", labelCol="_y", factorSize=factor, maxIter=max_iter,
-                      seed=seed, stepSize=step_size)
-    model = fm.fit(data)
-    factors = model.factors.toArray()
-    rows, offset = [], 0
-    for c in cols:
-        width = levels[c] + 2  # dropLast=False plus the invalid bucket
-        dim = sizes[c][1]
-        for code in range(levels[c] + 1):
-            rows.append((c, code, [float(x) for x in factors[offset + code, :dim]]))
+    dims = {r["column"]: int(r["embedding_dim"])
+            for r in embedding_dim(profile_nunique(df, cols)).collect()}  # one row per column
+    ends = df.agg(*[F.max(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.max(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    levels = [int(ends[f"m{i}"] if ends[f"m{i}"] is not None else -1) + 1 for i in range(len(cols))]
+    factor = max(dims.values())
+    data = df.select(*[F.coalesce(F.col(c).cast("int"), F.lit(n)).alias(c) for c, n in zip(cols, levels)],
+                     F.col(label).cast("double").alias("_y"))
+    enc = OneHotEncoder(inputCols=cols, outputCols=[f"_oh_{c}" for c in cols], dropLast=False).fit(data)
+    data = VectorAssembler(inputCols=[f"_oh_{c}" for c in cols], outputCol="_x").transform(enc.transform(data))
+    model = FMClassifier(featuresCol="_x", labelCol="_y", factorSize=factor, maxIter=max_iter,
+                         seed=seed, stepSize=step_size).fit(data)
+    factors, rows, offset = model.factors.toArray(), [], 0
+    for i, (c, n) in enumerate(zip(cols, levels)):
+        width = enc.categorySizes[i]
+        u, size, _ = np.linalg.svd(factors[offset:offset + width], full_matrices=False)
+        vecs = np.zeros((width, dims[c]))
+        k = min(dims[c], len(size))
+        vecs[:, :k] = u[:, :k] * size[:k]
+        rows += [(c, code if code < n else None, vec) for code, vec in enumerate(vecs.tolist())]
         offset += width
     return spark.createDataFrame(rows, "column string, code int, vec array<float>")
 
 
 def join_embedding(df: DataFrame, embeddings: DataFrame, col: str, dim: int | None = None,
                    prefix: str | None = None) -> DataFrame:
-    """Replace code column ``col`` by ``{col}_0..{col}_{dim-1}`` (inner join on the code)."""
-    from ledgerlens.operators.sizing import broadcast_if_small
-
+    """Replace code column ``col`` by ``{col}_0..{col}_{dim-1}`` (inner join on the code; a null code
+    matches the null level)."""
     prefix = prefix or col
     tab = embeddings.where(F.col("column") == col).select(F.col("code").alias("_code"), F.col("vec").alias("_vec"))
     if dim is None:
         dim = tab.select(F.max(F.size("_vec"))).first()[0] or 0
-    tab, _ = broadcast_if_small(tab)
-    out = df.join(tab, df[col] == tab["_code"], "inner")
+    out = df.join(tab, df[col].eqNullSafe(tab["_code"]), "inner")
     return out.select(*[c for c in df.columns if c != col],
                       *[F.col("_vec")[i].cast("double").alias(f"{prefix}_{i}") for i in range(dim)])
 

@@ -3,8 +3,9 @@
 ``StringIndexer`` orders numbers as text (1, 10, 2), so the dictionary is built here: one
 melt of all encoded columns to ``(column, num, str)``, one distinct, one range-partitioned
 numbering of ``(column, num, str)`` (no single-partition window), and per-column offsets.
-Codes are applied with one equi-join per column on the value's text form; a dictionary
-is broadcast only after its size is checked.
+Codes are applied with one left join per column on the value's text form; the planner
+broadcasts a dictionary only by its measured size. Null cells, which may be most of a
+column, are dealt over many keys that match nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
-from ledgerlens.operators.numbering import global_positions
+from ledgerlens.operators.numbering import global_positions, spread_nulls
 from ledgerlens.operators.profile import typed_values
-from ledgerlens.operators.sizing import broadcast_if_small
 
 
 def build_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -30,12 +30,12 @@ def apply_dictionary(df: DataFrame, dictionary: DataFrame, cols: list[str], suff
     """Replace each column by its code (null stays null). ``suffix`` keeps the original too."""
     out = df
     for c in cols:
-        d = dictionary.where(F.col("column") == c).select(F.col("str").alias("_k"),
+        d = dictionary.where(F.col("column") == c).select(F.col("str").alias("_k"), F.lit(0).alias("_spread"),
                                                           F.col("code").alias("_code"))
-        d, _ = broadcast_if_small(d)
-        out = (out.join(d, out[c].cast("string") == d["_k"], "left")
+        out = (out.withColumn("_k", F.col(c).cast("string")).withColumn("_spread", spread_nulls(["_k"]))
+                  .join(d, ["_k", "_spread"], "left")
                   .withColumn(c + suffix if suffix else c, F.col("_code"))
-                  .drop("_k", "_code"))
+                  .drop("_k", "_spread", "_code"))
     return out
 
 
@@ -52,13 +52,21 @@ def codes_from_category(df: DataFrame, dictionary: DataFrame, col: str, out_col:
 
 
 def downcast_types(df: DataFrame) -> DataFrame:
-    """double -> float, bigint -> int (``try_cast``: out-of-range values become null)."""
+    """double -> float; bigint -> int where a column's smallest and largest value fit (one pass for all
+    columns), else the column stays bigint."""
+    longs = [f.name for f in df.schema.fields if isinstance(f.dataType, LongType)]
+    fits = set()
+    if longs:
+        ends = df.agg(*[e for i, c in enumerate(longs)
+                        for e in (F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"))]).first()  # one row
+        fits = {c for i, c in enumerate(longs)
+                if ends[f"lo{i}"] is None or (ends[f"lo{i}"] >= -2 ** 31 and ends[f"hi{i}"] < 2 ** 31)}
     sel = []
     for f in df.schema.fields:
         if isinstance(f.dataType, DoubleType):
             sel.append(F.col(f.name).cast(FloatType()).alias(f.name))
-        elif isinstance(f.dataType, LongType):
-            sel.append(F.col(f.name).try_cast(IntegerType()).alias(f.name))
+        elif f.name in fits:
+            sel.append(F.col(f.name).cast(IntegerType()).alias(f.name))
         else:
             sel.append(F.col(f.name))
     return df.select(*sel)

@@ -16,9 +16,6 @@ class Graph:
     edges: DataFrame          # src, dst, type, [weight, ...]; both directions when undirected
     directed: bool = True
 
-    def persist(self) -> "Graph":
-        return Graph(self.nodes.persist(), self.edges.persist(), self.directed)
-
 
 def entity_signature(df: DataFrame, account_cols: list[str], device_cols: list[str],
                      account_out: str = "start_node_id", device_out: str = "end_node_id",
@@ -56,7 +53,7 @@ def graph_projection(graph: Graph, node_labels: list[str] | None = None,
                      weight_col: str | None = None) -> Graph:
     """Choose node labels, relationship types and orientation (natural / reverse / undirected).
 
-    Parallel edges are kept. Undirected = union of both directions.
+    Parallel edges are kept. Undirected = both directions of every edge, from one read of the edges.
     """
     nodes = graph.nodes
     if node_labels is not None:
@@ -76,8 +73,9 @@ def graph_projection(graph: Graph, node_labels: list[str] | None = None,
     elif orientation == "reverse":
         adj, directed = base.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), True
     elif orientation == "undirected":
-        rev = base.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-        adj, directed = base.unionByName(rev), False
+        ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        adj = base.select("weight", F.explode(ways).alias("_e")).select("_e.src", "_e.dst", "weight")
+        directed = False
     else:
         raise ValueError(f"unknown orientation {orientation!r}")
     return Graph(nodes.select("id", "label"), adj, directed)

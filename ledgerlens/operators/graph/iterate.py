@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ledgerlens.session import cut_lineage
@@ -12,5 +13,8 @@ def partitions(df: DataFrame) -> int:
 
 
 def keyed(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
-    """Hash-partition by ``key`` and checkpoint, so joins on ``key`` reuse the layout."""
-    return cut_lineage(df.repartition(n or partitions(df), key))
+    """Checkpoint, hash-partition by ``key`` and cache, so joins on ``key`` do not move these rows.
+
+    A lost executor's share of the cache is read again from the checkpoint. The caller unpersists.
+    """
+    return cut_lineage(df).repartition(n or partitions(df), key).persist(StorageLevel.MEMORY_AND_DISK)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions.scalar import affix_columns
+from ledgerlens.session import cut_lineage
 
 METRIC_COLUMNS = ["degree", "pagerank", "hits_auth", "hits_hub", "betweenness", "wcc_size",
                   "community_size"]
@@ -23,13 +24,17 @@ def join_group_size(assign: DataFrame, group_col: str, out_col: str = "size") ->
 def node_metrics(graph, *, include_betweenness: bool = True, include_louvain: bool = True,
                  pagerank_iter: int = 20, hits_iter: int = 20, betweenness_kwargs: dict | None = None,
                  louvain_kwargs: dict | None = None) -> DataFrame:
-    """One row per node: degree, pagerank, hits_auth, hits_hub, betweenness, wcc_size, community_size."""
+    """One row per node: degree, pagerank, hits_auth, hits_hub, betweenness, wcc_size, community_size.
+
+    The graph is written once and read by every metric."""
     from ledgerlens.operators.graph.betweenness import betweenness
+    from ledgerlens.operators.graph.build import Graph
     from ledgerlens.operators.graph.components import connected_components
     from ledgerlens.operators.graph.degree import degree
     from ledgerlens.operators.graph.hits import hits
     from ledgerlens.operators.graph.pagerank import pagerank
 
+    graph = Graph(cut_lineage(graph.nodes), cut_lineage(graph.edges), graph.directed)
     out = degree(graph)
     out = out.join(pagerank(graph, max_iter=pagerank_iter), "id")
     out = out.join(hits(graph, iterations=hits_iter), "id")

@@ -2,20 +2,18 @@
 
 strength(a1, a2) = sum over shared devices d of c(a1, d) * c(a2, d), only a1 < a2 in
 string order, zero strengths absent. Cost is sum_d deg(d)^2: each pair is produced
-once per shared device and summed with map-side partial aggregation. Devices whose
-account degree exceeds ``hot_degree`` are split: the left side is hashed into
-``ceil(deg / hot_degree)`` salt buckets and the right side replicated per bucket,
-so no task enumerates all pairs of one hot device.
+once per shared device and summed with map-side partial aggregation. The accounts of a
+device are dealt into blocks of about ``block`` by hash; every pair of blocks ``i <= j``
+is a join key of its own, so no key stands for more than ``block ** 2`` pairs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.operators.sizing import broadcast_if_small
 from ledgerlens.session import cut_lineage
 
-HOT_DEGREE = 20_000
+BLOCK = 2_000
 
 
 def pivot_sum(df: DataFrame, account: str = "start_node_id", device: str = "end_node_id") -> DataFrame:
@@ -26,27 +24,19 @@ def pivot_sum(df: DataFrame, account: str = "start_node_id", device: str = "end_
 
 
 def one_mode_projection(df: DataFrame, account: str = "start_node_id", device: str = "end_node_id",
-                        hot_degree: int = HOT_DEGREE) -> DataFrame:
-    # (account, device, exist) is read four times below (degrees, hot list, both join sides):
+                        block: int = BLOCK) -> DataFrame:
+    # (account, device, exist) is read three times below (degrees, both join sides):
     # write it once instead of recomputing the input plan per branch.
     cells = cut_lineage(pivot_sum(df, account, device))
-    deg = cells.groupBy("device").agg(F.count(F.lit(1)).alias("k"))  # partial agg per map task
-    hot = (deg.where(F.col("k") > hot_degree)
-              .select("device", F.ceil(F.col("k") / F.lit(hot_degree)).cast("int").alias("salts")))
-    hot_side, _ = broadcast_if_small(hot)
-    tagged = cells.join(hot_side, "device", "left").fillna({"salts": 1})
-    left = tagged.select(
-        "device", F.col("account").alias("start"), F.col("exist").alias("n1"),
-        F.pmod(F.xxhash64("account"), F.col("salts")).cast("int").alias("salt"))
-    right = tagged.select(
-        "device", F.col("account").alias("end"), F.col("exist").alias("n2"),
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pairs = left.join(right, ["device", "salt"]).where(F.col("start") < F.col("end"))
-    return (pairs.groupBy("start", "end")
+    hot = (cells.groupBy("device").agg(F.count(F.lit(1)).alias("k"))  # partial agg per map task
+                .where(F.col("k") > block)
+                .select("device", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("blocks")))
+    tagged = (cells.join(hot, "device", "left").fillna({"blocks": 1})
+                   .withColumn("b", F.pmod(F.xxhash64("account"), F.col("blocks")).cast("int")))
+    left = tagged.select("device", F.col("account").alias("a1"), F.col("exist").alias("n1"), F.col("b").alias("i"),
+                         F.explode(F.sequence(F.col("b"), F.col("blocks") - 1)).alias("j"))
+    right = tagged.select("device", F.col("account").alias("a2"), F.col("exist").alias("n2"),
+                          F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"))
+    pairs = left.join(right, ["device", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a1") < F.col("a2")))
+    return (pairs.groupBy(F.least("a1", "a2").alias("start"), F.greatest("a1", "a2").alias("end"))
                  .agg(F.sum(F.col("n1") * F.col("n2")).cast("bigint").alias("strength")))
-
-
-def self_join_projection(df: DataFrame, account: str = "start_node_id",
-                         device: str = "end_node_id") -> DataFrame:
-    """The join inside ``one_mode_projection`` (same plan)."""
-    return one_mode_projection(df, account, device)

@@ -30,9 +30,39 @@ def assemble_features(blocks: list[DataFrame], key: str, feature_cols: list[str]
     return VectorAssembler(inputCols=feature_cols, outputCol=out_col, handleInvalid="keep").transform(joined)
 
 
+MAX_CLASSES = 1000
+
+
+def _weight_column(weights: dict, label: str):
+    """Class -> weight as a column; a label with more than ``MAX_CLASSES`` values is no class label."""
+    if len(weights) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    pairs = [F.lit(x) for c, w in weights.items() for x in (c, w)]
+    return F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None).cast("double")
+
+
 def with_class_weights(df: DataFrame, label: str = "label", out_col: str = "weight") -> DataFrame:
-    w = class_weights(df, label)  # one row per class
-    return df.join(F.broadcast(w.withColumnRenamed("weight", out_col)), label)
+    rows = class_weights(df, label).limit(MAX_CLASSES + 1).collect()  # one row per class
+    weights = {r[label]: float(r["weight"]) for r in rows if r[label] is not None}
+    return df.where(F.col(label).isNotNull()).withColumn(out_col, _weight_column(weights, label))
+
+
+def _fold_weights(data: DataFrame, label: str) -> dict:
+    """``(repeat, fold)`` -> class weights of the rows outside that fold, from one count."""
+    counts: dict = {}
+    for r in data.groupBy("repeat", "fold", label).count().collect():  # one row per repeat, fold and class
+        counts.setdefault(r["repeat"], {}).setdefault(r["fold"], {})[r[label]] = r["count"]
+    out = {}
+    for repeat, folds in counts.items():
+        for fold in folds:
+            own: dict = {}
+            for f, per_class in folds.items():
+                for c, n in per_class.items():
+                    own[c] = own.get(c, 0) + (n if f != fold else 0)
+            own = {c: n for c, n in own.items() if n}
+            total = sum(own.values())
+            out[repeat, fold] = {c: total / (len(own) * n) for c, n in own.items()}
+    return out
 
 
 def make_forest(params: dict | None = None, seed: int = 2022, label: str = "label",
@@ -51,20 +81,23 @@ def make_forest(params: dict | None = None, seed: int = 2022, label: str = "labe
 def rf_cross_validate(df: DataFrame, id_col: str, label: str = "label", features: str = "features",
                       params: dict | None = None, k: int = 10, repeats: int = 3, seed: int = 2022,
                       parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Repeated stratified CV. Returns per-(repeat, fold) metrics and the stacked predictions."""
+    """Repeated stratified CV. Returns per-(repeat, fold) metrics and the stacked predictions.
+
+    Class weights come from the training rows of each fold alone."""
     folds = stratified_folds(df, id_col, label, k, repeats, seed)
-    data = cut_lineage(with_class_weights(df.select(id_col, label, features), label)
-                       .join(folds.drop(label), id_col))
+    data = cut_lineage(df.select(id_col, label, features).join(folds.drop(label), id_col))
+    weights = _fold_weights(data, label)
 
     def fit_one(rf_pair):
         r, f = rf_pair
-        train = data.where((F.col("repeat") == r) & (F.col("fold") != f))
+        train = data.where((F.col("repeat") == r) & (F.col("fold") != f)).withColumn(
+            "weight", _weight_column(weights[r, f], label))
         test = data.where((F.col("repeat") == r) & (F.col("fold") == f))
         model = make_forest(params, seed, label, features).fit(train)
         return cut_lineage(model.transform(test).select(id_col, label, "repeat", "fold", "prediction",
                                                         "probability"))
 
-    jobs = [(r, f) for r in range(repeats) for f in range(k)]
+    jobs = sorted(weights)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
         preds = list(ex.map(fit_one, jobs))
     stacked = reduce(DataFrame.unionByName, preds)

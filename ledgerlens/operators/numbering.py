@@ -62,12 +62,19 @@ def group_number(df: DataFrame, keys: list[str], out_col: str = "group",
                  num_partitions: int | None = None) -> DataFrame:
     """Dense 0-based number of each key tuple in sorted key order (pandas ``ngroup``).
 
-    Rows with a null in any key keep a null number.
+    Rows with a null in any key keep a null number; they are dealt over many join keys.
     """
     distinct = df.select(*keys).where(F.lit(True) if not keys else
                                       _all_not_null(keys)).distinct()
-    numbered = global_positions(distinct, keys, out_col, num_partitions)
-    return df.join(numbered, on=keys, how="left")
+    numbered = global_positions(distinct, keys, out_col, num_partitions).withColumn("_spread", F.lit(0))
+    return df.withColumn("_spread", spread_nulls(keys)).join(numbered, on=[*keys, "_spread"], how="left").drop("_spread")
+
+
+def spread_nulls(keys: list[str], ways: int = 1000):
+    """0 for rows whose keys are all set; else one of ``ways`` numbers by row position, so that rows that
+    can match nothing do not meet in one task of a join."""
+    return F.when(_all_not_null(keys), F.lit(0)).otherwise(
+        F.pmod(F.monotonically_increasing_id(), F.lit(ways)).cast("int") + 1)
 
 
 def _all_not_null(cols: list[str]):

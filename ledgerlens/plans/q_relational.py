@@ -234,10 +234,6 @@ def q_edge_training_set(spark, d):
 
 
 # ------------------------------------------------------------------ profiles
-def _wide_profile_cols():
-    return [c for c in ALL_WIDE]
-
-
 @register("profile_nunique", sql="WITH " + W + " " + _union(
     [f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS nunique FROM wide" for c in ALL_WIDE]))
 def q_profile_nunique(spark, d):
@@ -390,16 +386,16 @@ def q_embedding_dim(spark, d):
     return embedding_dim(pf.profile_nunique(fx.table(spark, d, "part"), PART_CATS))
 
 
-def _fixture_embeddings(spark, d, cols, dim=4):
+def _fixture_embeddings(spark, d, cols):
     """Code -> vector table taken from the ``embeddings`` table (vec_id as the code)."""
     from functools import reduce
     emb = fx.table(spark, d, "embeddings")
     parts = [emb.select(F.lit(c).alias("column"), F.col("vec_id").cast("int").alias("code"),
-                        F.slice("embedding", 1, dim).alias("vec")) for c in cols]
+                        F.col("embedding").alias("vec")) for c in cols]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _emb_sql(cols, dim=4):
+def _emb_sql(cols, dim=64):
     codes = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" for c in cols)
     sel = ", ".join(f"CAST(e{k}.embedding[{i + 1}] AS DOUBLE) AS {c}_{i}"
                     for k, c in enumerate(cols) for i in range(dim))
@@ -411,7 +407,7 @@ def _emb_sql(cols, dim=4):
 def q_join_embedding(spark, d):
     part = fx.table(spark, d, "part").select("p_partkey", "p_brand")
     coded, _ = label_encode(part, ["p_brand"])
-    return join_embedding(coded, _fixture_embeddings(spark, d, ["p_brand"]), "p_brand", dim=4)
+    return join_embedding(coded, _fixture_embeddings(spark, d, ["p_brand"]), "p_brand")
 
 
 @register("apply_embedding", sql=_emb_sql(["p_brand", "p_type"]))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.session import stage_path
@@ -31,14 +29,13 @@ def write_imputations(df: DataFrame, path: str, imputation_col: str = "imputatio
 def scan_imputations(spark: SparkSession, path: str, file_regex: str | None = None) -> DataFrame:
     """All completed datasets as one DataFrame with an ``imputation`` column (partition discovery).
 
-    ``file_regex`` restricts which files are read (as ``pathGlobFilter`` cannot take a regex,
-    the matching file list is read explicitly from the partition folders).
+    ``file_regex`` matches whole file names; the filter on the file's name prunes the file list before
+    anything is read.
     """
+    out = spark.read.parquet(path)
     if file_regex is None:
-        return spark.read.parquet(path)
-    rx = re.compile(file_regex)
-    return spark.read.option("basePath", path).parquet(path).where(
-        F.input_file_name().rlike(rx.pattern))
+        return out
+    return out.where(F.col("_metadata.file_name").rlike(f"^(?:{file_regex})$"))
 
 
 def export_target(df: DataFrame, key: str, label: str, path: str | None = None) -> DataFrame:

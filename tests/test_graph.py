@@ -1,6 +1,7 @@
 """Graph operators on the literal fixtures (closed forms)."""
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 from ledgerlens.operators.graph.betweenness import betweenness
@@ -32,7 +33,7 @@ def test_projection_salted_equals_plain(spark):
     rows = [(f"a{int(a)}", f"v{int(v)}") for a, v in zip(rng.integers(0, 40, 400), rng.integers(0, 5, 400))]
     df = spark.createDataFrame(rows, "start_node_id string, end_node_id string")
     plain = {tuple(r[:2]): r[2] for r in one_mode_projection(df).collect()}
-    salted = {tuple(r[:2]): r[2] for r in one_mode_projection(df, hot_degree=3).collect()}
+    salted = {tuple(r[:2]): r[2] for r in one_mode_projection(df, block=3).collect()}
     assert plain == salted
     accts = sorted({a for a, _ in rows})
     devs = sorted({v for _, v in rows})
@@ -102,3 +103,83 @@ def test_null_key_signature(spark):
     out = {r["tx"]: (r["start_node_id"], r["end_node_id"])
            for r in entity_signature(df, ["acc"], ["dev"]).collect()}
     assert out == {1: ("a0", "v0"), 2: (None, "v0"), 3: ("a0", None)}
+
+
+def _union_find(nodes, edges):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def _check_components(spark, nodes, edges):
+    g = Graph(spark.createDataFrame([(n, "x") for n in nodes], "id long, label string"),
+              spark.createDataFrame(edges or [(0, 0)], "src long, dst long").where("src != dst"))
+    got = connected_components(graph_projection(g, orientation="undirected")).collect()
+    assert sorted((r.id, r.component) for r in got) == sorted(_union_find(nodes, edges).items())
+
+
+def test_components_of_a_path_with_mixed_ids(spark):
+    path = [2, 3, 4, 6, 5, 1]
+    _check_components(spark, sorted(path), list(zip(path, path[1:])))
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(12)
+    nodes, edges = [], []
+    for block in range(40):  # many small graphs at once: trees and sparse graphs, ids mixed
+        ids = (block * 100 + rng.permutation(12)).tolist()
+        nodes += ids
+        if block % 2:
+            edges += [(ids[i], ids[int(rng.integers(0, i))]) for i in range(1, 12)]
+        else:
+            edges += [(ids[int(a)], ids[int(b)]) for a, b in rng.integers(0, 12, (9, 2))]
+    _check_components(spark, nodes, [e for e in edges if e[0] != e[1]])
+
+
+def test_projection_of_a_hot_device(spark):
+    n = 300
+    df = spark.range(n).select(F.concat(F.lit("a"), "id").alias("start_node_id"), F.lit("v").alias("end_node_id"))
+    got = one_mode_projection(df, block=20)
+    assert got.count() == n * (n - 1) // 2
+    assert got.agg(F.min("strength"), F.max("strength")).first() == (1, 1)
+
+
+def test_mostly_null_keys(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 5 == 0, F.col("id") % 35).alias("acc"),
+                                  F.col("id").cast("string").alias("dev"))
+    got = entity_signature(df, ["acc"], ["dev"])
+    assert got.count() == 4000
+    assert got.where("start_node_id is null").count() == 3200
+    assert got.where("start_node_id is not null").select("acc", "start_node_id").distinct().count() == 7
+
+
+def test_edges_stay_where_they_are(spark):
+    from ledgerlens.operators.graph.iterate import keyed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = keyed(spark.range(1000).selectExpr("id % 50 as src", "id as dst"), "src", 4)
+        ranks = spark.range(50).selectExpr("id", "1.0 as pr").repartition(4, "id").persist()
+        ranks.count()
+        edges.count()
+        plan = edges.join(ranks.withColumnRenamed("id", "src"), "src")._jdf.queryExecution().executedPlan().toString()
+        head = plan.split("InMemoryTableScan")[0]
+        assert "Exchange" not in head and plan.split("InMemoryRelation")[0].count("Exchange") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        edges.unpersist()
+        ranks.unpersist()
+
+
+def test_undirected_projection_reads_its_edges_once(spark, tmp_path):
+    spark.range(10).selectExpr("id as src", "id + 1 as dst").write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    g = Graph(spark.range(11).selectExpr("id", "'x' as label"), edges)
+    plan = graph_projection(g, orientation="undirected").edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

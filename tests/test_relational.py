@@ -59,3 +59,46 @@ def test_folds_invariants(spark):
     counts = f.groupBy("repeat", "fold", "label").count().groupBy("repeat", "label").agg(
         (F.max("count") - F.min("count")).alias("spread")).agg(F.max("spread")).first()[0]
     assert counts <= 1
+
+
+def test_downcast_keeps_large_keys(spark):
+    from ledgerlens.operators.encode import downcast_types
+    df = spark.createDataFrame([(1, 3_000_000_000, 1.5), (2, None, None)], "a long, b long, c double")
+    out = downcast_types(df)
+    assert dict(out.dtypes) == {"a": "int", "b": "bigint", "c": "float"}
+    assert {r.b for r in out.collect()} == {3_000_000_000, None}
+
+
+def test_encode_mostly_null_column(spark):
+    from ledgerlens.operators.encode import label_encode
+    df = spark.range(1000).selectExpr("id", "if(id % 10 = 0, cast(id % 30 as string), null) as c")
+    out, _ = label_encode(df, ["c"])
+    assert out.where("c is null").count() == 900
+    assert {r.c for r in out.where("c is not null").collect()} == {0, 1, 2}
+
+
+def test_scan_imputations_by_file_name(spark, tmp_path):
+    from ledgerlens.sources.stages import scan_imputations, write_imputations
+    df = spark.range(20).selectExpr("id", "cast(id % 2 as int) as imputation").coalesce(1)
+    path = write_imputations(df, str(tmp_path / "imp"))
+    assert scan_imputations(spark, path).count() == 20
+    assert scan_imputations(spark, path, r"part-.*\.parquet").count() == 20
+    assert scan_imputations(spark, path, "part").count() == 0  # whole names
+
+
+def test_fold_weights_use_training_rows_only(spark):
+    from ledgerlens.operators.model.train import _fold_weights
+    rows = [(0, 0, 1)] * 3 + [(0, 0, 0)] * 1 + [(0, 1, 0)] * 4 + [(0, 2, 1)] * 2
+    got = _fold_weights(spark.createDataFrame(rows, "repeat int, fold int, label int"), "label")
+    assert got[0, 0] == {0: 6 / (2 * 4), 1: 6 / (2 * 2)}
+    assert got[0, 1] == {0: 6 / (2 * 1), 1: 6 / (2 * 5)}
+
+
+def test_embedding_keeps_every_row(spark):
+    from ledgerlens.operators.embed import apply_embedding, learn_embedding
+    df = spark.range(300).selectExpr("id", "if(id % 7 = 0, null, cast(id % 5 as int)) as a",
+                                     "cast(id % 3 as int) as b", "cast(id % 2 as int) as y")
+    emb = learn_embedding(df, ["a", "b"], "y", max_iter=3)
+    sizes = {(r.column, r.code): len(r.vec) for r in emb.collect()}
+    assert sizes == {("a", c): 3 for c in (0, 1, 2, 3, 4, None)} | {("b", c): 2 for c in (0, 1, 2)}
+    assert apply_embedding(df, emb, ["a", "b"]).count() == 300
