@@ -238,8 +238,10 @@ def links(fps: DataFrame, tau: int = MAX_BITS, m: int = PARTS) -> DataFrame:
     grouped = cut_lineage(
         fps.select("_fp").join(first.withColumnRenamed("id", "_fp"), "_fp", "left")
            .select("_fp", F.coalesce("component", "_fp").alias("_group")))
+    # Few bytes, many probes: the planner would put them into very few tasks.
+    spread = grouped.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
     found = grouped.mapInPandas(index, rows).join(
-        grouped.mapInPandas(probes, "_key long, _pfp long, _pgroup long"), "_key").where(
+        spread.mapInPandas(probes, "_key long, _pfp long, _pgroup long"), "_key").where(
         (F.col("_fp") > F.col("_pfp")) & (F.col("_group") != F.col("_pgroup")) & (apart("_fp", "_pfp") <= tau))
     second = star_components(found.select(F.col("_group").alias("src"), F.col("_pgroup").alias("dst")))
     whole = (grouped.join(second.withColumnRenamed("id", "_group"), "_group", "left")
