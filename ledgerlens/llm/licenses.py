@@ -2,8 +2,9 @@
 
 Templates are word sequences of licence notices, each with mandatory key phrases. One pass over the
 table counts in how many documents each template word occurs. The index keeps the positions of every
-template's ``anchors`` highest-IDF words. In a document, each occurrence of an indexed word votes for
-``(template, document position - template position)``; where votes of different anchors meet at one
+template word. Of the template words that a document holds, the ``anchors`` of highest IDF are looked
+up, for each template whose mandatory words are all there; each occurrence votes for
+``(template, document position - template position)``. Where votes of different words meet at one
 relative position (give or take ``slack`` words), the mandatory phrases are looked up word by word
 around their places, and the score is the IDF share of template words found in place.
 
@@ -60,12 +61,12 @@ MIN_SCORE = 0.5
 
 
 class Index:
-    """Positional postings of each template's rarest words."""
+    """Positional postings of the template words."""
 
     def __init__(self, templates, idf: dict[bytes, float], anchors: int = ANCHORS, slack: int = SLACK,
                  min_score: float = MIN_SCORE):
-        self.slack, self.min_score = slack, min_score
-        self.templates, self.postings = [], {}
+        self.anchors, self.slack, self.min_score = anchors, slack, min_score
+        self.templates, self.postings, self.ranked, self.needed = [], {}, [], []
         for t, (label, text, phrases) in enumerate(templates):
             words = alnum_words(text)
             keys = []
@@ -75,21 +76,27 @@ class Index:
                 keys.append((at, own))
             weight = [idf.get(w, 0.0) for w in words]
             self.templates.append((label, words, keys, weight))
-            rare = sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w))[:anchors]
+            self.ranked.append(sorted(set(words), key=lambda w: (-idf.get(w, 0.0), w)))
+            self.needed.append(frozenset(w for _, own in keys for w in own))
             for q, w in enumerate(words):
-                if w in rare:
-                    self.postings.setdefault(w, []).append((t, q))
+                self.postings.setdefault(w, []).append((t, q))
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels whose template is found, with the best score."""
-        present = self.postings.keys() & set(words)
-        if len(present) < 2:
+        have = set(words)
+        asked: dict[bytes, set[int]] = {}
+        for t, needed in enumerate(self.needed):
+            if needed <= have:
+                for w in [w for w in self.ranked[t] if w in have][:self.anchors]:
+                    asked.setdefault(w, set()).add(t)
+        if not asked:
             return {}
         votes: dict[int, dict[int, set]] = {}
         for p, w in enumerate(words):
-            if w in present:
+            if w in asked:
                 for t, q in self.postings[w]:
-                    votes.setdefault(t, {}).setdefault(p - q, set()).add(w)
+                    if t in asked[w]:
+                        votes.setdefault(t, {}).setdefault(p - q, set()).add(w)
         found: dict[str, float] = {}
         for t, offsets in votes.items():
             label = self.templates[t][0]

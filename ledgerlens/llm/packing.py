@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +30,45 @@ from ledgerlens.llm import tokens
 
 SEQUENCE = 2048
 END_ID = 1
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
 class Encoder:
-    """Token ids of whole texts, the library's ids of each distinct chunk looked up once."""
+    """Token ids of whole texts: the library's model on each distinct pre-token, looked up from then on."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        self.tokenizer = tokens.load_tokenizer(path)
-        self.end_id = end_id
-        self.cache: dict[str, list[int]] = {}
+        self.splitter = tokens.Splitter(path)
+        self.model = self.splitter.tokenizer.model
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.by_chunk: dict[bytes, bytes] = {}
+        self.by_piece: dict[str | int, bytes] = {}
+
+    def _piece(self, piece: str | int) -> bytes:
+        ids = [piece] if isinstance(piece, int) else [t.id for t in self.model.tokenize(piece)]
+        return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.cache) > tokens.CACHE_CHUNKS:
-            self.cache = {}
+        if len(self.by_chunk) > tokens.CACHE_CHUNKS:
+            self.by_chunk, self.by_piece = {}, {}
         split = [tokens.chunks(t) for t in texts]
-        new = list({c for s in split for c in s if c not in self.cache})
-        for lo in range(0, len(new), 10_000):
-            part = new[lo:lo + 10_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.cache[c] = e.ids
-        out = []
-        for s in split:
-            ids: list[int] = []
-            for c in s:
-                ids += self.cache[c]
-            ids.append(self.end_id)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+        known = self.by_piece
+        for c in set().union(*split).difference(self.by_chunk):
+            ids = b""
+            for p in self.splitter.pieces(c):
+                own = known.get(p)
+                if own is None:
+                    own = known[p] = self._piece(p)
+                ids += own
+            self.by_chunk[c] = ids
+        get = self.by_chunk.__getitem__
+        return [np.frombuffer(b"".join(map(get, s)) + self.end, dtype="<u4") for s in split]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder; its caches outlive a task."""
+    return Encoder(path)
 
 
 def capacities(total: int, size: int = SEQUENCE) -> list[int]:
@@ -70,27 +81,42 @@ def assign(lengths: list[int], size: int = SEQUENCE, linear: float = LINEAR,
            quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int]]:
     """Pieces ``(document, start, length, sequence)``; sequences are filled exactly."""
     room = capacities(sum(lengths), size)
-    heap = [(0.0, q) for q in range(len(room))]
+    cost = [0.0] * len(room)
+    # Sequences in ``fit`` may have room for the piece at hand; a sequence found too full waits, known by
+    # room and by cost, until the pieces have become short enough.
+    fit = [(0.0, q) for q in range(len(room))]
+    waiting, by_room, by_cost = set(), [], []
     pieces = []
 
-    def put(doc, start, length, cost, q):
-        pieces.append((doc, start, length, q))
-        room[q] -= length
-        if room[q]:
-            heapq.heappush(heap, (cost + linear * length + quadratic * length * length, q))
+    def current(q, c):
+        return q in waiting and cost[q] == c
 
     parts = [(min(size, n - start), doc, start) for doc, n in enumerate(lengths) for start in range(0, n, size)]
     for length, doc, start in sorted(parts, key=lambda p: (-p[0], p[1], p[2])):
         while length:
-            passed = []
-            while heap and room[heap[0][1]] < length:
-                passed.append(heapq.heappop(heap))
-            # The cheapest with room for all; if none has, the cheapest is filled and the rest goes on.
-            cost, q = heapq.heappop(heap) if heap else passed.pop(0)
-            for entry in passed:
-                heapq.heappush(heap, entry)
+            while by_room and -by_room[0][0] >= length:
+                _, c, q = heapq.heappop(by_room)
+                if current(q, c):
+                    waiting.discard(q)
+                    heapq.heappush(fit, (c, q))
+            while fit and room[fit[0][1]] < length:
+                c, q = heapq.heappop(fit)
+                waiting.add(q)
+                heapq.heappush(by_room, (-room[q], c, q))
+                heapq.heappush(by_cost, (c, q))
+            if fit:
+                _, q = heapq.heappop(fit)
+            else:  # none has room for all: the cheapest is filled and the rest goes on
+                c, q = heapq.heappop(by_cost)
+                while not current(q, c):
+                    c, q = heapq.heappop(by_cost)
+                waiting.discard(q)
             n = min(length, room[q])
-            put(doc, start, n, cost, q)
+            pieces.append((doc, start, n, q))
+            room[q] -= n
+            cost[q] += linear * n + quadratic * n * n
+            if room[q]:
+                heapq.heappush(fit, (cost[q], q))
             start, length = start + n, length - n
     return pieces
 
@@ -125,7 +151,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, block_tokens: int = BLO
     from ledgerlens.llm.text import to_batch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         base = TaskContext.get().partitionId() << 36
         ids, block, size, sequences = [], [], 0, 0
         for batch in batches:

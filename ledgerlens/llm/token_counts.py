@@ -15,6 +15,8 @@ counted separately; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -109,30 +111,10 @@ class TokenCounter:
     """Counts of whole texts, equal to the library's ``encode`` without added special tokens."""
 
     def __init__(self, path: str):
-        self.tokenizer = tokens.load_tokenizer(path)
-        spec = tokens.load_spec(path)
-        self.merger = RankMerger(spec)
-        self.special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.by_chunk: dict[str, int] = {}
-        self.by_piece: dict[str, int] = {}
-
-    def _segments(self, chunk: str) -> tuple[int, list[str]]:
-        """Special strings of a chunk (one token each), and the ordinary text between them."""
-        import re
-        if not self.special or "<" not in chunk and not any(s in chunk for s in self.special):
-            return 0, [chunk]
-        parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", chunk)
-        return len(parts) // 2, parts[::2]
-
-    def _pieces(self, chunk: str) -> tuple[int, list[str]]:
-        n, segments = self._segments(chunk)
-        norm, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
-        out = []
-        for s in segments:
-            if s:
-                s = norm.normalize_str(s) if norm else s
-                out += [p for p, _ in pre.pre_tokenize_str(s)]
-        return n, out
+        self.splitter = tokens.Splitter(path)
+        self.merger = RankMerger(self.splitter.spec)
+        self.by_chunk: dict[bytes, int] = {}
+        self.by_piece: dict[str | int, int] = {}
 
     def _merge(self, pieces: list[str]) -> None:
         batch, size = [], 0
@@ -148,14 +130,22 @@ class TokenCounter:
         if len(self.by_chunk) > tokens.CACHE_CHUNKS:
             self.by_chunk, self.by_piece = {}, {}
         split = [tokens.chunks(t) for t in texts]
-        new = list({c for s in split for c in s if c not in self.by_chunk})
-        cut = [self._pieces(c) for c in new]
-        self._merge(list({p for _, ps in cut for p in ps if p not in self.by_piece}))
+        new = list(set().union(*split).difference(self.by_chunk))
+        cut = [self.splitter.pieces(c) for c in new]
+        own = {p for ps in cut for p in ps}.difference(self.by_piece)
+        self.by_piece.update((p, 1) for p in own if isinstance(p, int))  # special tokens
+        self._merge([p for p in own if isinstance(p, str)])
         n_of = self.by_piece.__getitem__
-        self.by_chunk.update((c, n + sum(map(n_of, ps))) for c, (n, ps) in zip(new, cut))
+        self.by_chunk.update((c, sum(map(n_of, ps))) for c, ps in zip(new, cut))
         return [sum(map(self.by_chunk.__getitem__, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def _counter(path: str) -> TokenCounter:
+    """A worker's counter; its caches outlive a task."""
+    return TokenCounter(path)
+
+
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_tokens, over_limit`` of the whole text.
 
@@ -174,4 +164,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TO
 
     id_type = dict(docs.dtypes)["doc_id"]
     return map_rows(docs, count, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean",
-                    ["doc_id", "text"], before=lambda: TokenCounter(path))
+                    ["doc_id", "text"], before=lambda: _counter(path))

@@ -1,22 +1,46 @@
-"""Word pieces of a byte-level BPE vocabulary with word ends (a ``tokenizers`` JSON file).
+"""Pre-tokens of a byte-level BPE vocabulary with word ends (a ``tokenizers`` JSON file).
 
 The vocabulary drops white space, so no token spans a blank: a text's tokens are those of its
-blank-separated chunks, in order. Chunks are cut only at space, tab, line feed and carriage return;
-any other white space stays inside a chunk and is left to the library. Distinct chunks are few
-against all chunks, so each is tokenised once per cache life.
+blank-separated chunks, in order. Chunks are cut at ASCII white space; any other white space stays
+inside a chunk and is left to the library. Distinct chunks are few against all chunks, so each is cut
+into pre-tokens once per cache life.
+
+Chunks of ASCII and Latin letters are cut here by the vocabulary's own rule, if it is the one known
+below; all other chunks go through the library's normaliser and pre-tokeniser.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-#: Distinct chunks a task holds; above it the cache starts anew (results do not change).
-CACHE_CHUNKS = 400_000
-_BLANKS = str.maketrans("\t\n\r", "   ")
+#: Distinct chunks a worker holds; above it the cache starts anew (results do not change).
+CACHE_CHUNKS = 500_000
+
+# The rules for which chunks may be cut here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+# ASCII signs and digits, and the letters of ASCII, Latin-1 and Latin Extended-A: none of them composes
+# with another, and each is lowered by itself (but for U+0130, which is left to the library).
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
+_LETTER = "a-zß-öø-ž"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Bytes that are no printable Latin-1 character -> the letters from U+0100 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(other)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -32,10 +56,41 @@ def load_tokenizer(path: str):
     return tok
 
 
-def load_spec(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def chunks(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
+
+class Splitter:
+    """Chunks to pre-tokens (text in byte letters) and special tokens (their ids)."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in self.spec.get("added_tokens") or []}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self._marks = [s.encode() for s in self.special]
+        steps = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self._own = (self.spec.get("normalizer") == _NORMALIZER and len(steps) == 2
+                     and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[0].get("behavior") == "Removed"
+                     and steps[0].get("invert") is True and steps[1].get("type") == "ByteLevel"
+                     and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False)
 
+    def pieces(self, chunk: bytes) -> list[str | int]:
+        text = chunk.decode("utf-8")
+        if any(m in chunk for m in self._marks):
+            parts = self._cut.split(text)
+            return [x for k, p in enumerate(parts) for x in ([self.special[p]] if k % 2 else self._plain(p))]
+        return self._plain(text)
 
-def chunks(text: str | None) -> list[str]:
-    return [c for c in (text or "").translate(_BLANKS).split(" ") if c]
+    def _plain(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self._own and _PLAIN.fullmatch(text):
+            own = _PIECE.findall(text.lower())
+            if text.isascii():
+                return own
+            return [p.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS) for p in own]
+        if self.tokenizer.normalizer:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
