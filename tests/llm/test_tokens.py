@@ -32,6 +32,18 @@ def test_counts_equal_the_library(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_own_cuts_equal_the_library():
+    splitter = tokens.Splitter(tokens.vocabulary_path())
+    assert splitter._own
+    rng = random.Random(9)
+    letters = [chr(c) for c in [*range(0x21, 0x7f), *range(0xa1, 0x250)]]
+    words = letters + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    tok = splitter.tokenizer
+    for w in words:
+        want = [p for p, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(w))]
+        assert splitter.pieces(w.encode()) == want, repr(w)
+
+
 def test_counts_of_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs(spark, rows)).collect()}
