@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,35 +35,33 @@ BLOCK_TOKENS = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
-class Encoder:
-    """Token ids of whole texts: the library's model on each distinct pre-token, looked up from then on."""
+class Encoder(dict):
+    """Token ids (as bytes) of chunks: the library's model on each distinct pre-token, looked up from
+    then on."""
 
     def __init__(self, path: str, end_id: int = END_ID):
+        super().__init__()
         self.splitter = tokens.Splitter(path)
         self.model = self.splitter.tokenizer.model
-        self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.by_chunk: dict[bytes, bytes] = {}
-        self.by_piece: dict[str | int, bytes] = {}
-
-    def _piece(self, piece: str | int) -> bytes:
-        ids = [piece] if isinstance(piece, int) else [t.id for t in self.model.tokenize(piece)]
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.by_chunk) > tokens.CACHE_CHUNKS:
-            self.by_chunk, self.by_piece = {}, {}
-        split = [tokens.chunks(t) for t in texts]
-        known = self.by_piece
-        for c in set().union(*split).difference(self.by_chunk):
-            ids = b""
-            for p in self.splitter.pieces(c):
-                own = known.get(p)
-                if own is None:
-                    own = known[p] = self._piece(p)
-                ids += own
-            self.by_chunk[c] = ids
-        get = self.by_chunk.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)) + self.end, dtype="<u4") for s in split]
+        self.end = array("I", [end_id]).tobytes()
+        self.pieces: dict[str | int, bytes] = {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        known, parts = self.pieces, []
+        for p in self.splitter.pieces(chunk):
+            own = known.get(p)
+            if own is None:
+                ids = [p] if isinstance(p, int) else [t.id for t in self.model.tokenize(p)]
+                own = known[p] = array("I", ids).tobytes()
+            parts.append(own)
+        ids = self[chunk] = b"".join(parts) if len(parts) != 1 else parts[0]
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if len(self) > tokens.CACHE_CHUNKS:
+            self.clear()
+            self.pieces.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, tokens.chunks(text))) + self.end, dtype="<u4")
 
 
 @lru_cache(maxsize=1)
@@ -156,15 +155,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, block_tokens: int = BLO
         ids, block, size, sequences = [], [], 0, 0
         for batch in batches:
             keys, texts = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(keys), 256):
-                for k, d in zip(keys[lo:lo + 256], encoder.encode(texts[lo:lo + 256])):
-                    ids.append(k)
-                    block.append(d)
-                    size += len(d)
-                    if size >= block_tokens:
-                        yield to_batch(_pack_block(ids, block, base + sequences), target)
-                        sequences += len(capacities(size))
-                        ids, block, size = [], [], 0
+            for k, t in zip(keys, texts):
+                ids.append(k)
+                block.append(encoder.encode(t))
+                size += len(block[-1])
+                if size >= block_tokens:
+                    yield to_batch(_pack_block(ids, block, base + sequences), target)
+                    sequences += len(capacities(size))
+                    ids, block, size = [], [], 0
         if block:
             yield to_batch(_pack_block(ids, block, base + sequences), target)
 

@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Distinct chunks a worker holds; above it the cache starts anew (results do not change).
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 
 # The rules for which chunks may be cut here.
 _NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -69,7 +69,7 @@ class Splitter:
             self.spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in self.spec.get("added_tokens") or []}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self._marks = [s.encode() for s in self.special]
+        self._mark = re.compile(b"|".join(re.escape(s.encode()) for s in self.special) or b"(?!)")
         steps = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self._own = (self.spec.get("normalizer") == _NORMALIZER and len(steps) == 2
                      and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[0].get("behavior") == "Removed"
@@ -78,7 +78,7 @@ class Splitter:
 
     def pieces(self, chunk: bytes) -> list[str | int]:
         text = chunk.decode("utf-8")
-        if any(m in chunk for m in self._marks):
+        if self._mark.search(chunk):
             parts = self._cut.split(text)
             return [x for k, p in enumerate(parts) for x in ([self.special[p]] if k % 2 else self._plain(p))]
         return self._plain(text)
@@ -87,7 +87,7 @@ class Splitter:
         if not text:
             return []
         if self._own and _PLAIN.fullmatch(text):
-            own = _PIECE.findall(text.lower())
+            own = [text.lower()] if text.isalpha() else _PIECE.findall(text.lower())
             if text.isascii():
                 return own
             return [p.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS) for p in own]
