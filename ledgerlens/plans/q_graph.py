@@ -126,7 +126,7 @@ from ledgerlens.operators.graph.metrics import (  # noqa: E402
     group_size, join_bipartite_metrics, join_edge_metrics, join_group_size, join_mono_metrics, node_metrics,
 )
 from ledgerlens.operators.graph.pagerank import pagerank  # noqa: E402
-from ledgerlens.plans.graph_sql import hits_sql, pagerank_sql, r6  # noqa: E402
+from ledgerlens.plans.graph_sql import components_sql, hits_sql, pagerank_sql, r6  # noqa: E402
 
 METRICS = ["degree", "pagerank", "hits_auth", "hits_hub", "betweenness", "wcc_size", "community_size"]
 
@@ -302,3 +302,50 @@ def q_append_edge_metrics(spark, d):
 
 
 alias("join_edge_metrics", "append_edge_metrics")
+
+
+# ---- the directed account -> device graph of all transactions
+TX_GRAPH_SQL = "WITH " + fx.SIG_SQL + """,
+bnodes AS MATERIALIZED (SELECT DISTINCT start_node_id AS id, 'account' AS label FROM sig
+                        UNION ALL SELECT DISTINCT end_node_id, 'device' FROM sig),
+badj AS MATERIALIZED (SELECT start_node_id AS src, end_node_id AS dst FROM sig),
+""" + components_sql("bnodes", "badj")
+
+TX_METRICS_SQL = TX_GRAPH_SQL + """,
+bdeg AS (SELECT n.id, CAST(coalesce(c.d, 0) AS DOUBLE) AS degree FROM bnodes n
+         LEFT JOIN (SELECT src, count(*) AS d FROM badj GROUP BY src) c ON n.id = c.src),
+""" + pagerank_sql("bnodes", "badj", "bpr") + ",\n" + hits_sql("bnodes", "badj", "bh") + """,
+bm AS (SELECT n.id, n.label, d.degree, round(p.pagerank, 6) AS pagerank, round(h.hits_auth, 6) AS hits_auth,
+              round(h.hits_hub, 6) AS hits_hub, 0.0::DOUBLE AS betweenness, z.wcc_size
+       FROM bnodes n JOIN bdeg d ON n.id = d.id JOIN bpr p ON n.id = p.id JOIN bh h ON n.id = h.id
+       JOIN cc z ON n.id = z.id)"""
+
+TX_METRICS = [m for m in METRICS if m != "community_size"]
+
+
+def _transaction_metrics(spark, d):
+    sig = signed_transactions(spark, d).select("tx_id", "start_node_id", "end_node_id")
+    g = bipartite_graph(sig, props=[])
+    metrics = node_metrics(graph_projection(g), include_louvain=False)
+    return sig, g, _r6(metrics, ["pagerank", "hits_auth", "hits_hub", "betweenness"])
+
+
+@register("transaction_components", sql=TX_GRAPH_SQL + " SELECT id, component FROM cc")
+def q_transaction_components(spark, d):
+    return connected_components(bipartite_graph(signed_transactions(spark, d), props=[]))
+
+
+@register("transaction_node_metrics", sql=TX_METRICS_SQL + "\nSELECT id, " + ", ".join(TX_METRICS) + " FROM bm")
+def q_transaction_node_metrics(spark, d):
+    return _transaction_metrics(spark, d)[2]
+
+
+@register("append_transaction_metrics", sql=TX_METRICS_SQL + """
+SELECT s.tx_id, s.start_node_id, s.end_node_id,
+       """ + ", ".join(f"a.{m} AS acc_{m}" for m in TX_METRICS) + ", "
+          + ", ".join(f"v.{m} AS dev_{m}" for m in TX_METRICS) + """
+FROM sig s LEFT JOIN (SELECT * FROM bm WHERE label = 'account') a ON s.start_node_id = a.id
+LEFT JOIN (SELECT * FROM bm WHERE label = 'device') v ON s.end_node_id = v.id""")
+def q_append_transaction_metrics(spark, d):
+    sig, g, metrics = _transaction_metrics(spark, d)
+    return join_bipartite_metrics(sig, metrics, g.nodes)
