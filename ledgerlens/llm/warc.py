@@ -15,8 +15,7 @@ Spark's own Parquet writer to the shared folder, so a lost task leaves nothing h
 ``export_files`` puts them into a folder as plain files.
 
 Payloads are equal if length, SHA-1 and SHA-256 are. Only these digests are shuffled by payload; the
-payloads themselves are dealt by their own record's place, so a payload that a third of all pages
-share meets in no task.
+payloads stay in their archives, so a payload that a third of all pages share meets in no task.
 
 Defined results: null html is an empty payload; a null url is ``urn:none``; a null ``page_id`` is later
 than any other and never referred to unless all are null; rows that repeat the ``page_id`` of the
@@ -37,12 +36,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.session import stage_path
+from ledgerlens.llm.text import utf8
+from ledgerlens.session import cut_lineage, stage_path
 
 ARCHIVE_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 0
 CAPTURE_DATE = "20000101000000"
 _LEVEL = 1
+_STEP = 8192
 
 # The field names of ARC header lines.
 ARC_FIELDS = {
@@ -62,10 +63,15 @@ def member(data: bytes) -> bytes:
 
 
 def members(content: bytes) -> Iterator[bytes]:
-    while content:
-        d = zlib.decompressobj(31)
-        yield d.decompress(content) + d.flush()
-        content = d.unused_data
+    """Uncompressed gzip members, fed in small steps: what a member leaves over is never much."""
+    at = 0
+    while at < len(content):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(content):
+            parts.append(d.decompress(content[at:at + _STEP]))
+            at += _STEP
+        at = min(at, len(content)) - len(d.unused_data)
+        yield b"".join(parts) + d.flush()
 
 
 def uri(url: str | None) -> str:
@@ -140,50 +146,36 @@ def split_http(body: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}, head + mark, payload
 
 
-def _archives(batches, columns, start, record, name) -> Iterator[pa.RecordBatch]:
-    """Gather records into archives of about ``ARCHIVE_BYTES``."""
-    done, parts, size, raw = 0, [], 0, 0
-
-    def close():
-        return pa.RecordBatch.from_pydict({"archive": [name(done)], "content": [b"".join(parts)]})
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if not parts:
-                first = start(name(done), done)
-                parts, raw = [member(first)], len(first)
-            data = record(row, name(done), done, raw)
-            parts.append(member(data))
-            raw += len(data)
-            if raw >= ARCHIVE_BYTES:
-                yield close()
-                done, parts = done + 1, []
-    if parts:
-        yield close()
-
-
 def write_arc(pages: DataFrame, path: str, date: str = CAPTURE_DATE) -> DataFrame:
     """Pages ``(page_id, url, html)`` as ARC files, versions 1 and 2 by turns; rows ``(archive, content)``.
 
     The page's id is the HTTP header ``X-Page-Id`` of the captured response.
     """
     def run(batches):
-        task = TaskContext.get().partitionId()
-
-        def version(done):
-            return 1 + (task + done) % 2
+        task, done, parts, raw = TaskContext.get().partitionId(), 0, [], 0
 
-        def record(row, name, done, offset):
-            page, url, html = row
-            head = {"Content-Type": "text/html; charset=utf-8"}
-            if page is not None:
-                head["X-Page-Id"] = str(page)
-            body = http_response((html or "").encode("utf-8"), head)
-            return arc_record(version(done), uri(url), date, "text/html", body, offset=offset, filename=name)
+        def close():
+            return pa.RecordBatch.from_pydict({"archive": [name], "content": [b"".join(parts)]})
 
-        yield from _archives(batches, ["page_id", "url", "html"],
-                             lambda name, done: arc_start(version(done), name, date), record,
-                             lambda done: f"part-{task:05d}-{done:05d}.arc.gz")
+        for batch in batches:
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if not parts:
+                    version = 1 + (task + done) % 2
+                    name = f"part-{task:05d}-{done:05d}.arc.gz"
+                    start = arc_start(version, name, date)
+                    parts, raw = [member(start)], len(start)
+                head = {"Content-Type": "text/html; charset=utf-8"}
+                if page is not None:
+                    head["X-Page-Id"] = str(page)
+                record = arc_record(version, uri(url), date, "text/html", http_response(utf8(html), head),
+                                    offset=raw, filename=name)
+                parts.append(member(record))
+                raw += len(record)
+                if raw >= ARCHIVE_BYTES:
+                    yield close()
+                    done, parts = done + 1, []
+        if parts:
+            yield close()
 
     out = pages.select("page_id", "url", "html").mapInArrow(run, "archive string, content binary")
     out.write.option("compression", "none").parquet(path)
@@ -238,50 +230,52 @@ def iso(date: str) -> str:
 
 
 def convert(archives: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """ARC files to WARC files, written to ``path``; rows ``(archive, content)``."""
-    place = ["archive", "offset"]
+    """ARC files to WARC files, one for one, written to ``path``; rows ``(archive, content)``.
+
+    Revisits are decided on digests alone; each archive then gets the list of its own, which is no
+    longer than the archive.
+    """
     same = ["payload_bytes", "sha1", "sha256"]
-    digests = arc_records(archives, payload=False).select(*place, "url", "date", "page_id", *same)
-    long_enough = digests.where(F.col("payload_bytes") >= min_revisit_bytes)
-    first = long_enough.groupBy(*same).agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
-    revisits = (long_enough.join(first.where("n > 1"), same)
+    digests = cut_lineage(arc_records(archives, payload=False).select("archive", "offset", "page_id", *same)
+                          .where(F.col("payload_bytes") >= min_revisit_bytes))
+    first = digests.groupBy(*same).agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
+    revisits = (digests.join(first.where("n > 1"), same)
                 .where(F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")))
-                .select(*place, "first_page"))
-    rows = arc_records(archives).join(revisits, place, "left").select(
-        *place, "url", "ip", "date", "mime", "page_id", "head", "payload_bytes", "sha1", "first_page",
-        F.when(F.col("first_page").isNull(), F.col("payload")).alias("payload"))
-    columns = rows.columns
+                .groupBy("archive").agg(F.collect_list(F.struct("offset", "first_page")).alias("again")))
+
+    def convert_one(archive: str, content: bytes, again: dict[int, int]) -> tuple[str, bytes]:
+        name = archive.removesuffix(".gz").removesuffix(".arc") + ".warc.gz"
+        info = b"software: ledgerlens\r\nformat: WARC File Format 1.1\r\n"
+        parts = [member(warc_record("warcinfo", {
+            "WARC-Record-ID": record_id(name, CAPTURE_DATE, name, 0), "WARC-Date": iso(CAPTURE_DATE),
+            "WARC-Filename": name, "Content-Type": "application/warc-fields"}, info))]
+        for r in read_arc(content):
+            fields, head, payload = split_http(r["body"])
+            first_page = again.get(r["offset"])
+            block = head if first_page is not None else r["body"]
+            headers = {
+                "WARC-Record-ID": record_id(r["url"], r["date"], archive, r["offset"]),
+                "WARC-Date": iso(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"],
+                "WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}",
+                "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
+                "Content-Type": "application/http; msgtype=response" if head else r["mime"],
+                "X-Payload-Length": str(len(payload))}
+            if "x-page-id" in fields:
+                headers["X-Page-Id"] = fields["x-page-id"]
+            if first_page is not None:
+                headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+                headers["X-Refers-To-Page-Id"] = str(first_page)
+            parts.append(member(warc_record("response" if first_page is None else "revisit", headers, block)))
+        return name, b"".join(parts)
 
     def run(batches):
-        task = TaskContext.get().partitionId()
-
-        def start(name, done):
-            block = b"software: ledgerlens\r\nformat: WARC File Format 1.1\r\n"
-            return warc_record("warcinfo", {
-                "WARC-Record-ID": record_id(name, CAPTURE_DATE, name, 0), "WARC-Date": iso(CAPTURE_DATE),
-                "WARC-Filename": name, "Content-Type": "application/warc-fields"}, block)
+        for batch in batches:
+            for archive, content, again in zip(*(c.to_pylist() for c in batch.columns)):
+                name, out = convert_one(archive, content, {x["offset"]: x["first_page"] for x in again or []})
+                yield pa.RecordBatch.from_pydict({"archive": [name], "content": [out]})
 
-        def record(row, name, done, _):
-            r = dict(zip(columns, row))
-            block = bytes(r["head"] or b"") + bytes(r["payload"] or b"")
-            headers = {
-                "WARC-Record-ID": record_id(r["url"], r["date"], r["archive"], r["offset"]),
-                "WARC-Date": iso(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"],
-                "WARC-Payload-Digest": f"sha1:{r['sha1']}", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}",
-                "Content-Type": "application/http; msgtype=response" if r["head"] else r["mime"],
-                "X-Payload-Length": str(r["payload_bytes"])}
-            if r["page_id"] is not None:
-                headers["X-Page-Id"] = str(r["page_id"])
-            if r["first_page"] is None:
-                return warc_record("response", headers, block)
-            headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-            headers["X-Refers-To-Page-Id"] = str(r["first_page"])
-            return warc_record("revisit", headers, block)
-
-        yield from _archives(batches, columns, start, record,
-                             lambda done: f"part-{task:05d}-{done:05d}.warc.gz")
-
-    rows.mapInArrow(run, "archive string, content binary").write.option("compression", "none").parquet(path)
+    archives.join(revisits, "archive", "left").select("archive", "content", "again").mapInArrow(
+        run, "archive string, content binary").write.option("compression", "none").parquet(path)
     return archives.sparkSession.read.parquet(path)
 
 
