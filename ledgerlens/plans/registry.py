@@ -32,4 +32,4 @@ def alias(name: str, target: str) -> None:
 
 def load_all() -> None:
     # Importing the modules fills the registry.
-    from ledgerlens.plans import q_graph, q_relational, q_model, q_reduce  # noqa: F401
+    from ledgerlens.plans import q_closed_forms, q_graph, q_model, q_reduce, q_relational  # noqa: F401
