@@ -177,19 +177,20 @@ def sort_by_stat(stats: DataFrame, stat_col: str, ascending: bool = False) -> Da
     return stats.withColumn("position", F.row_number().over(w) - 1)
 
 
-def classify_columns(nunique: DataFrame, categorical: list[str], deleted: list[str] | None = None,
+def classify_columns(profile: DataFrame, categorical: list[str], deleted: list[str] | None = None,
                      target: str | None = None) -> DataFrame:
     """Role per column: ``boolean`` (2 levels), ``categorical`` (listed, not boolean, not deleted),
-    ``numeric`` (the rest), ``target``. Input is a ``(column, nunique)`` profile."""
+    ``numeric`` (the rest), ``target``. Input is a ``(column, is_boolean)`` or ``(column, nunique)``
+    profile; the first needs no shuffle of the values."""
     deleted = list(deleted or [])
     cat = F.col("column").isin(categorical) if categorical else F.lit(False)
     dele = F.col("column").isin(deleted) if deleted else F.lit(False)
-    is_bool = F.col("nunique") == 2
+    is_bool = F.col("is_boolean") if "is_boolean" in profile.columns else F.col("nunique") == 2
     role = (F.when(F.col("column") == F.lit(target), F.lit("target")) if target else F.when(F.lit(False), None))
     role = (role.when(is_bool, F.lit("boolean"))
                 .when(cat & ~dele, F.lit("categorical"))
                 .otherwise(F.lit("numeric")))
-    return nunique.where(~dele).select("column", role.alias("role"))
+    return profile.where(~dele).select("column", role.alias("role"))
 
 
 def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, list[str]]:

@@ -71,7 +71,7 @@ def compare_experiments(spark: SparkSession, d: str, k: int = 10, repeats: int =
 
     from ledgerlens.plans.q_relational import edge_training_set
     ets = edge_training_set(spark, d).withColumn(
-        "edge_id", F.col("txId_from") * F.lit(1 << 32) + F.col("txId_to")).withColumnRenamed("target", "label")
+        "edge_id", F.concat_ws("-", "txId_from", "txId_to")).withColumnRenamed("target", "label")
     num = ["f_price_from", "f_cust_from", "f_price_to", "f_cust_to"]
     lpca, _, _ = pca_by_variance(ets, "edge_id", num, 0.95)
     block4 = ets.select("edge_id", "label", "txId_from", "txId_to").join(lpca, "edge_id")

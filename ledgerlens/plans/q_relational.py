@@ -9,12 +9,13 @@ from ledgerlens.functions.scalar import (
 )
 from ledgerlens.operators import profile as pf
 from ledgerlens.operators.encode import (
+    build_dictionary,
     apply_dictionary, build_dictionary, codes_from_category, downcast_types, label_encode,
 )
 from ledgerlens.operators.embed import apply_embedding, embedding_dim, join_embedding
 from ledgerlens.operators.impute import ampute, initial_impute
 from ledgerlens.operators.numbering import ordered_split
-from ledgerlens.operators.reduce import standardize
+from ledgerlens.operators.reduce import apply_scaler, standardize, store_scaler
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans.q_graph import signed_transactions
 from ledgerlens.plans.registry import register
@@ -328,7 +329,23 @@ SELECT "column", CASE WHEN "column" = 'is_fraud' THEN 'target' WHEN nunique = 2
 FROM nu WHERE "column" NOT IN ('const_one', 'tx_id')""")
 def q_classify_columns(spark, d):
     wide = fx.wide_transactions(spark, d)
-    return pf.classify_columns(pf.profile_nunique(wide), fx.WIDE_CATEGORICAL, WIDE_DELETED, "is_fraud")
+    return pf.classify_columns(pf.profile_is_boolean(wide), fx.WIDE_CATEGORICAL, WIDE_DELETED, "is_fraud")
+
+
+ROLE_CATS = [c for c in fx.WIDE_CATEGORICAL if c not in WIDE_DELETED]
+
+
+@register("schema_catalog_roles", sql="WITH " + W + ", nu AS (" + _union(
+    [f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS nunique FROM wide" for c in ALL_WIDE]) + """)
+SELECT "column", CASE WHEN "column" = 'is_fraud' THEN 'target' WHEN nunique = 2 THEN 'boolean'
+                      WHEN "column" IN (""" + ", ".join(f"'{c}'" for c in fx.WIDE_CATEGORICAL) + """)
+                      THEN 'categorical' WHEN "column" NOT IN ('const_one', 'tx_id') THEN 'numeric' END AS role,
+       CASE WHEN "column" IN (""" + ", ".join(f"'{c}'" for c in ROLE_CATS) + """) THEN nunique END AS levels
+FROM nu""")
+def q_schema_catalog_roles(spark, d):
+    wide = fx.wide_transactions(spark, d)
+    roles = pf.classify_columns(pf.profile_is_boolean(wide), fx.WIDE_CATEGORICAL, WIDE_DELETED, "is_fraud")
+    return schema_catalog(wide, roles, build_dictionary(wide, ROLE_CATS)).select("column", "role", "levels")
 
 
 # ------------------------------------------------------------------ encoding / imputation / scaling
@@ -369,9 +386,20 @@ def q_initial_impute(spark, d):
     return out.select("tx_id", *[F.round(c, 6).alias(c) for c in IMP_NUM], *IMP_CAT)
 
 
-@register("standardize", sql="WITH " + W + " SELECT tx_id, " + ", ".join(
+STANDARDIZE_SQL ="WITH " + W + " SELECT tx_id, " + ", ".join(
     f"round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 6) AS {c}"
-    for c in fx.WIDE_NUMERIC) + " FROM wide")
+    for c in fx.WIDE_NUMERIC) + " FROM wide"
+
+
+@register("scaler_store", sql=STANDARDIZE_SQL)
+def q_scaler_store(spark, d):
+    """Fitted, written, read back and applied."""
+    wide = fx.wide_transactions(spark, d).select("tx_id", *fx.WIDE_NUMERIC)
+    out = apply_scaler(wide, store_scaler(spark, standardize(wide, fx.WIDE_NUMERIC)[1]))
+    return out.select("tx_id", *[F.round(c, 6).alias(c) for c in fx.WIDE_NUMERIC])
+
+
+@register("standardize", sql=STANDARDIZE_SQL)
 def q_standardize(spark, d):
     wide = fx.wide_transactions(spark, d).select("tx_id", *fx.WIDE_NUMERIC)
     out, _ = standardize(wide, fx.WIDE_NUMERIC)

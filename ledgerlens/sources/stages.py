@@ -43,11 +43,21 @@ def export_target(df: DataFrame, key: str, label: str, path: str | None = None)
     return stage_table(df.select(key, label), "target", path)
 
 
-def schema_catalog(df: DataFrame, roles: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """``(column, dtype[, role])`` metadata table, written as Parquet and read back."""
+def schema_catalog(df: DataFrame, roles: DataFrame | None = None, dictionary: DataFrame | None = None,
+                   path: str | None = None) -> DataFrame:
+    """``(column, dtype[, role][, levels])`` metadata table, written as Parquet and read back.
+
+    ``roles`` comes from ``classify_columns``, ``dictionary`` from ``build_dictionary``: its
+    ``(column, level, code)`` rows are written beside the catalog, and the catalog counts them.
+    """
     spark = df.sparkSession
     rows = [(c, t) for c, t in df.dtypes]
     cat = spark.createDataFrame(rows, "column string, dtype string")  # one row per column
     if roles is not None:
         cat = cat.join(roles, "column", "left")
+    if dictionary is not None:
+        target = path and f"{path}-labels"
+        labels = stage_table(dictionary.select("column", F.col("str").alias("level"), "code"), "labels", target)
+        counts = labels.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("levels"))
+        cat = cat.join(counts, "column", "left")
     return stage_table(cat, "schema_catalog", path)
