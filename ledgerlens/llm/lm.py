@@ -56,7 +56,7 @@ END = xxhash.xxh64_intdigest(b"\n")
 @dataclass(frozen=True)
 class Settings:
     order: int = 2
-    mu: float = 2.0
+    mu: float = 200.0
     chunk_bytes: int = 10 << 20
     bucket_bytes: int = 4 << 20
 
