@@ -15,6 +15,9 @@ from ledgerlens.operators.graph.build import Graph
 from ledgerlens.session import cut_lineage
 
 
+EDGES_PER_PARTITION = 200_000
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(
         e.select(F.col("parent").alias("u"), F.col("child").alias("v")))
@@ -45,11 +48,12 @@ def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         edges.where(F.col("src") != F.col("dst"))
              .select(F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent"))
              .distinct())
-    rounds = 0
+    # A round never adds edges: partitions for the first count are enough for all.
+    parts, rounds = e.count() // EDGES_PER_PARTITION + 1, 0
     while not _is_stars(e):
         if rounds == max_rounds:
             raise RuntimeError(f"components not complete after {max_rounds} rounds")
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(_large_star(e)).coalesce(parts))
         rounds += 1
     return e.select(F.col("child").alias("id"), F.col("parent").alias("component"))
 

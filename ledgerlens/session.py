@@ -57,12 +57,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
+        _delete_on_exit(spark, sc.getCheckpointDir())
     return base
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver ends (Hadoop's own mark, for any file system)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+
+
+_stage_roots: dict[str, str] = {}
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written stage."""
-    return os.path.join(checkpoint_dir(spark), "stages", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path for a written stage, in this application's own folder under the shared checkpoint
+    folder. The application owns its stages: they go when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _stage_roots:
+        root = os.path.join(checkpoint_dir(spark), "stages", f"{app}-{uuid.uuid4().hex[:12]}")
+        _delete_on_exit(spark, root)
+        _stage_roots[app] = root
+    return os.path.join(_stage_roots[app], f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
