@@ -10,8 +10,9 @@ programming over estimated candidate counts, so it does not probe where its valu
    many, are one row.
 2. Count bit pairs (64 x 64 numbers) and group correlated bits; count values of each part (at most
    ``m * 2**16`` numbers, wider parts by their first 16 bits). Both sizes are fixed.
-3. Link each fingerprint with a few centres of its parts' buckets where they are within ``tau``:
-   dense clouds of near copies collapse with one link a member and not one a pair.
+3. Link each fingerprint with a few centres of its parts' buckets where they are within ``tau``, and
+   group it with the smallest centre within two such links: dense clouds of near copies collapse with one
+   link a member and not one a pair.
 4. Probe: every fingerprint looks up all part values within its thresholds; hits are verified on all
    64 bits inside the join, which returns only links between different groups of step 3.
 5. Components of the links; each document gets the smallest ``doc_id`` of its component.
@@ -194,8 +195,7 @@ def _plan(fps: DataFrame, m: int, tau: int) -> Plan:
 
 
 def links(fps: DataFrame, tau: int = MAX_BITS, m: int = PARTS) -> DataFrame:
-    """Groups of the distinct fingerprints ``_fp``: ``(id, component)`` of every fingerprint that is
-    not the smallest of its group."""
+    """Components of the distinct fingerprints ``_fp``: ``(id, component)`` of every one."""
     if not 2 <= m <= 16:
         raise ValueError("2 to 16 parts")
     plan = fps.sparkSession.sparkContext.broadcast(_plan(fps, m, tau))
@@ -231,21 +231,25 @@ def links(fps: DataFrame, tau: int = MAX_BITS, m: int = PARTS) -> DataFrame:
     centres = plain.groupBy("_key").agg(
         F.count(F.lit(1)).alias("_n"),
         F.array(*[F.min(F.col("_fp").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for c in CENTRES]).alias("_c"))
-    near = (plain.join(centres.where("_n > 1"), "_key")
-                 .select("_fp", F.explode(F.array_distinct("_c")).alias("_centre"))
-                 .where((F.col("_fp") != F.col("_centre")) & (apart("_fp", "_centre") <= tau)))
-    first = star_components(near.select(F.col("_fp").alias("src"), F.col("_centre").alias("dst")))
+    near = cut_lineage(
+        plain.join(centres.where("_n > 1"), "_key")
+             .select("_fp", F.explode(F.array_distinct("_c")).alias("_centre"))
+             .where((F.col("_fp") != F.col("_centre")) & (apart("_fp", "_centre") <= tau)).distinct())
+    # A fingerprint's group: the smallest centre that it reaches in two steps. Equal groups are connected.
+    one = near.groupBy("_fp").agg(F.min("_centre").alias("_one"))
+    two = (near.join(one.withColumnRenamed("_fp", "_centre"), "_centre", "left")
+               .groupBy("_fp").agg(F.min(F.least("_centre", F.coalesce("_one", "_centre"))).alias("_group")))
     grouped = cut_lineage(
-        fps.select("_fp").join(first.withColumnRenamed("id", "_fp"), "_fp", "left")
-           .select("_fp", F.coalesce("component", "_fp").alias("_group")))
+        fps.select("_fp").join(two, "_fp", "left").select("_fp", F.least("_fp", F.coalesce("_group", "_fp")).alias("_group")))
     # Few bytes, many probes: the planner would put them into very few tasks.
     spread = grouped.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
     found = grouped.mapInPandas(index, rows).join(
         spread.mapInPandas(probes, "_key long, _pfp long, _pgroup long"), "_key").where(
         (F.col("_fp") > F.col("_pfp")) & (F.col("_group") != F.col("_pgroup")) & (apart("_fp", "_pfp") <= tau))
-    second = star_components(found.select(F.col("_group").alias("src"), F.col("_pgroup").alias("dst")))
-    whole = (grouped.join(second.withColumnRenamed("id", "_group"), "_group", "left")
-                    .select(F.col("_fp").alias("id"), F.coalesce("component", "_group").alias("component")))
+    edges = (found.select(F.col("_group").alias("src"), F.col("_pgroup").alias("dst"))
+             .unionByName(grouped.where("_fp != _group").select(F.col("_fp").alias("src"), F.col("_group").alias("dst"))))
+    whole = (fps.select(F.col("_fp").alias("id")).join(star_components(edges), "id", "left")
+                .select("id", F.coalesce("component", "id").alias("component")))
     return cut_lineage(whole)
 
 
@@ -254,7 +258,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, tau: int = MAX_BITS, m
     each = cut_lineage(fingerprints(docs, size))
     fps = cut_lineage(each.groupBy("_fp").agg(F.min("doc_id").alias("_least")))
     groups = links(fps, tau, m).withColumnRenamed("id", "_fp")
-    least = groups.join(fps, "_fp").groupBy("component").agg(F.min("_least").alias("component_id"))
+    # Written, so that the join below can split a component that holds many fingerprints.
+    least = cut_lineage(groups.join(fps, "_fp").groupBy("component").agg(F.min("_least").alias("component_id")))
     ids = groups.join(least, "component").select("_fp", "component_id")
     return each.join(ids, "_fp").select(
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
