@@ -236,14 +236,15 @@ def convert(archives: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     longer than the archive.
     """
     same = ["payload_bytes", "sha1", "sha256"]
-    digests = cut_lineage(arc_records(archives, payload=False).select("archive", "offset", "page_id", *same)
+    place = ["page_id", "archive", "offset", "url", "date"]
+    digests = cut_lineage(arc_records(archives, payload=False).select(*place, *same)
                           .where(F.col("payload_bytes") >= min_revisit_bytes))
-    first = digests.groupBy(*same).agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
-    revisits = (digests.join(first.where("n > 1"), same)
-                .where(F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")))
-                .groupBy("archive").agg(F.collect_list(F.struct("offset", "first_page")).alias("again")))
+    first = (digests.where(F.col("page_id").isNotNull()).groupBy(*same)
+             .agg(F.min(F.struct(*place)).alias("first")))
+    revisits = (digests.join(first, same).where(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+                .groupBy("archive").agg(F.collect_list(F.struct("offset", "first")).alias("again")))
 
-    def convert_one(archive: str, content: bytes, again: dict[int, int]) -> tuple[str, bytes]:
+    def convert_one(archive: str, content: bytes, again: dict[int, dict]) -> tuple[str, bytes]:
         name = archive.removesuffix(".gz").removesuffix(".arc") + ".warc.gz"
         info = b"software: ledgerlens\r\nformat: WARC File Format 1.1\r\n"
         parts = [member(warc_record("warcinfo", {
@@ -251,8 +252,8 @@ def convert(archives: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
             "WARC-Filename": name, "Content-Type": "application/warc-fields"}, info))]
         for r in read_arc(content):
             fields, head, payload = split_http(r["body"])
-            first_page = again.get(r["offset"])
-            block = head if first_page is not None else r["body"]
+            first = again.get(r["offset"])
+            block = r["body"] if first is None else head
             headers = {
                 "WARC-Record-ID": record_id(r["url"], r["date"], archive, r["offset"]),
                 "WARC-Date": iso(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"],
@@ -262,16 +263,19 @@ def convert(archives: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
                 "X-Payload-Length": str(len(payload))}
             if "x-page-id" in fields:
                 headers["X-Page-Id"] = fields["x-page-id"]
-            if first_page is not None:
-                headers["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                headers["X-Refers-To-Page-Id"] = str(first_page)
-            parts.append(member(warc_record("response" if first_page is None else "revisit", headers, block)))
+            if first is not None:
+                headers |= {
+                    "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                    "WARC-Refers-To": record_id(first["url"], first["date"], first["archive"], first["offset"]),
+                    "WARC-Refers-To-Target-URI": first["url"], "WARC-Refers-To-Date": iso(first["date"]),
+                    "X-Refers-To-Page-Id": str(first["page_id"])}
+            parts.append(member(warc_record("response" if first is None else "revisit", headers, block)))
         return name, b"".join(parts)
 
     def run(batches):
         for batch in batches:
             for archive, content, again in zip(*(c.to_pylist() for c in batch.columns)):
-                name, out = convert_one(archive, content, {x["offset"]: x["first_page"] for x in again or []})
+                name, out = convert_one(archive, content, {x["offset"]: x["first"] for x in again or []})
                 yield pa.RecordBatch.from_pydict({"archive": [name], "content": [out]})
 
     archives.join(revisits, "archive", "left").select("archive", "content", "again").mapInArrow(
