@@ -47,7 +47,7 @@ from ledgerlens.session import stage_path
 HELD_OUT_FOLDS = 10
 PRIOR = 0.1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 300_000
 # No word contains white space.
 START = xxhash.xxh64_intdigest(b"\n\n")
 END = xxhash.xxh64_intdigest(b"\n")

@@ -31,7 +31,7 @@ from ledgerlens.llm.text import fold, map_rows, utf8
 HELD_OUT_FOLDS = 5
 THRESHOLD = 0.3
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x00-\x20]+")
-_CACHE_TOKENS = 500_000
+_CACHE_TOKENS = 200_000
 
 
 @dataclass(frozen=True)
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id").sort_values("_order")
         features, model = Features(s), Ftrl(s)
-        rows = [features(t) for t in pdf["text"]]
+        rows = [(at.astype(np.int32), x.astype(np.float32)) for at, x in map(features, pdf["text"])]
         labels_ = pdf["_y"].to_numpy(dtype=float)
         for _ in range(s.epochs):
             for (at, x), y in zip(rows, labels_):
