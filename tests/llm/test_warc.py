@@ -47,14 +47,19 @@ def test_archives_are_files_of_both_versions(spark, tmp_path):
     n = warc.export_files(out, (tmp_path / "files").as_uri())
     files = sorted((tmp_path / "files").iterdir())
     assert n == len(files) == out.count()
-    ids, dates = [], set()
+    ids, dates, responses, referred = [], set(), set(), set()
     for f in files:
         for fields, block in warc.read_warc(f.read_bytes()):
             ids.append(fields["warc-record-id"])
             dates.add(fields["warc-date"])
+            if fields["warc-type"] == "response":
+                responses.add(ids[-1])
+            if fields["warc-type"] == "revisit":
+                referred.add(fields["warc-refers-to"])
             if "warc-block-digest" in fields:
                 assert fields["warc-block-digest"] == "sha1:" + warc.base32_sha1(block)
     assert len(ids) == len(set(ids)) == len(rows_of()) + len(files)
+    assert referred and referred <= responses
     assert dates == {"2000-01-01T00:00:00Z"}
 
 
