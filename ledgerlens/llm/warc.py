@@ -10,8 +10,8 @@ length of the body, and nothing but that length ends a record. Each record becom
 * digests: SHA-1 in base 32 of the payload and of the block.
 
 Archives travel as rows ``(archive, content)`` whose ``content`` is a complete ``.arc.gz`` or
-``.warc.gz`` file (one gzip member a record) of about ``ARCHIVE_BYTES`` before compression, written by
-Spark's own Parquet writer to the shared folder, so a lost task leaves nothing half-written behind.
+``.warc.gz`` file of about ``ARCHIVE_BYTES`` before compression (ARC: one gzip member, WARC: one a
+record), written by Spark's own Parquet writer to the shared folder, so a lost task leaves nothing half-written behind.
 ``export_files`` puts them into a folder as plain files.
 
 Payloads are equal if length, SHA-1 and SHA-256 are. Only these digests are shuffled by payload; the
@@ -42,7 +42,7 @@ from ledgerlens.session import cut_lineage, stage_path
 ARCHIVE_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 0
 CAPTURE_DATE = "20000101000000"
-_LEVEL = 1
+_LEVEL = 4
 _STEP = 8192
 
 # The field names of ARC header lines.
@@ -56,9 +56,13 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def compressor():
+    """Of one gzip member, with no time stamp."""
+    return zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+
+
 def member(data: bytes) -> bytes:
-    """One gzip member, with no time stamp."""
-    c = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+    c = compressor()
     return c.compress(data) + c.flush()
 
 
@@ -155,7 +159,7 @@ def write_arc(pages: DataFrame, path: str, date: str = CAPTURE_DATE) -> DataFram
         task, done, parts, raw = TaskContext.get().partitionId(), 0, [], 0
 
         def close():
-            return pa.RecordBatch.from_pydict({"archive": [name], "content": [b"".join(parts)]})
+            return pa.RecordBatch.from_pydict({"archive": [name], "content": [b"".join(parts) + gzip.flush()]})
 
         for batch in batches:
             for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
@@ -163,13 +167,14 @@ def write_arc(pages: DataFrame, path: str, date: str = CAPTURE_DATE) -> DataFram
                     version = 1 + (task + done) % 2
                     name = f"part-{task:05d}-{done:05d}.arc.gz"
                     start = arc_start(version, name, date)
-                    parts, raw = [member(start)], len(start)
+                    gzip = compressor()
+                    parts, raw = [gzip.compress(start)], len(start)
                 head = {"Content-Type": "text/html; charset=utf-8"}
                 if page is not None:
                     head["X-Page-Id"] = str(page)
                 record = arc_record(version, uri(url), date, "text/html", http_response(utf8(html), head),
                                     offset=raw, filename=name)
-                parts.append(member(record))
+                parts.append(gzip.compress(record))
                 raw += len(record)
                 if raw >= ARCHIVE_BYTES:
                     yield close()
