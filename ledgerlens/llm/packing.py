@@ -37,7 +37,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 class Encoder(dict):
     """Token ids (as bytes) of chunks: the library's model on each distinct pre-token, looked up from
-    then on."""
+    then on. Full caches become the old generation, from which what is still in use comes back."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         super().__init__()
@@ -45,22 +45,29 @@ class Encoder(dict):
         self.model = self.splitter.tokenizer.model
         self.end = array("I", [end_id]).tobytes()
         self.pieces: dict[str | int, bytes] = {}
+        self.old: tuple[dict, dict] = ({}, {})
 
     def __missing__(self, chunk: bytes) -> bytes:
-        known, parts = self.pieces, []
-        for p in self.splitter.pieces(chunk):
-            own = known.get(p)
-            if own is None:
-                ids = [p] if isinstance(p, int) else [t.id for t in self.model.tokenize(p)]
-                own = known[p] = array("I", ids).tobytes()
-            parts.append(own)
-        ids = self[chunk] = b"".join(parts) if len(parts) != 1 else parts[0]
+        ids = self.old[0].get(chunk)
+        if ids is None:
+            parts = [self.pieces.get(p) or self._piece(p) for p in self.splitter.pieces(chunk)]
+            ids = parts[0] if len(parts) == 1 else b"".join(parts)
+        self[chunk] = ids
+        return ids
+
+    def _piece(self, piece: str | int) -> bytes:
+        ids = self.old[1].get(piece)
+        if ids is None:
+            own = [piece] if isinstance(piece, int) else [t.id for t in self.model.tokenize(piece)]
+            ids = array("I", own).tobytes()
+        self.pieces[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if len(self) > tokens.CACHE_CHUNKS:
+            self.old = dict(self), self.pieces
             self.clear()
-            self.pieces.clear()
+            self.pieces = {}
         return np.frombuffer(b"".join(map(self.__getitem__, tokens.chunks(text))) + self.end, dtype="<u4")
 
 
