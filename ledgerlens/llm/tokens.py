@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from codecs import charmap_decode
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -33,11 +34,11 @@ _LETTER = "a-zß-öø-ž"
 _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 
 
-def _byte_letters() -> dict[int, int]:
-    """Bytes that are no printable Latin-1 character -> the letters from U+0100 on, in order."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+def _byte_letters() -> str:
+    """The letter of each byte: its Latin-1 character if printable, else those from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     other = [b for b in range(256) if b not in printable]
-    return {b: 256 + i for i, b in enumerate(other)}
+    return "".join(chr(b) if b in printable else chr(256 + other.index(b)) for b in range(256))
 
 
 _BYTE_LETTERS = _byte_letters()
@@ -70,15 +71,19 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in self.spec.get("added_tokens") or []}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._mark = re.compile(b"|".join(re.escape(s.encode()) for s in self.special) or b"(?!)")
+        self._lead = os.path.commonprefix(list(self.special)).encode()  # rarely in a chunk
         steps = (self.spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self._own = (self.spec.get("normalizer") == _NORMALIZER and len(steps) == 2
                      and steps[0].get("pattern") == {"Regex": _PATTERN} and steps[0].get("behavior") == "Removed"
                      and steps[0].get("invert") is True and steps[1].get("type") == "ByteLevel"
-                     and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False)
+                     and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False
+                     and not any(s[:1].isalpha() for s in self.special))
 
     def pieces(self, chunk: bytes) -> list[str | int]:
+        if self._own and chunk.isalpha():  # ASCII letters only
+            return [chunk.lower().decode("ascii")]
         text = chunk.decode("utf-8")
-        if self._mark.search(chunk):
+        if self._lead in chunk and self._mark.search(chunk):
             parts = self._cut.split(text)
             return [x for k, p in enumerate(parts) for x in ([self.special[p]] if k % 2 else self._plain(p))]
         return self._plain(text)
@@ -86,11 +91,12 @@ class Splitter:
     def _plain(self, text: str) -> list[str]:
         if not text:
             return []
-        if self._own and _PLAIN.fullmatch(text):
-            own = [text.lower()] if text.isalpha() else _PIECE.findall(text.lower())
-            if text.isascii():
-                return own
-            return [p.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS) for p in own]
+        if self._own:
+            if text.isascii() and text.isprintable():
+                return _PIECE.findall(text.lower())
+            if _PLAIN.fullmatch(text):
+                own = [text.lower()] if text.isalpha() else _PIECE.findall(text.lower())
+                return [charmap_decode(p.encode("utf-8"), "strict", _BYTE_LETTERS)[0] for p in own]
         if self.tokenizer.normalizer:
             text = self.tokenizer.normalizer.normalize_str(text)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
