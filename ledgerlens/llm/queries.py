@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import (bpe, decontaminate, exact_dedup, licenses, lm, negatives, packing, pii, quality, simhash,
-                            token_counts, warc)
+from ledgerlens.llm import (bpe, decontaminate, exact_dedup, licenses, lm, negatives, packing, pii, prefix_trie,
+                            quality, simhash, token_counts, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,52 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+# DuckDB has no CRC-32: its 32 rounds a byte are a table of 256 entries, and the text is taken byte by byte.
+OP12_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+               md5('0:' || length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT i AS byte, i AS v, 0 AS k FROM range(256) r(i)
+         UNION ALL SELECT byte, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1
+         FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY byte) AS entries FROM bits WHERE k = 8),
+c AS (SELECT DISTINCT conv_id FROM t),
+crc AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM c
+        UNION ALL SELECT conv_id, s, i + 1,
+          xor(entries[1 + xor(v, ascii(s[i + 1])) % 256], v // 256) FROM crc, crc_table WHERE i < length(s)),
+h AS (SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base, xor(v, 4294967295) % 9 AS h
+      FROM crc WHERE i = length(s)),
+b AS (SELECT h.conv_id, 0 AS part, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.base AND t.pos <= h.h
+      UNION ALL SELECT h.conv_id, 1, t.pos, t.role, t.text FROM h JOIN t ON t.conv_id = h.conv_id AND t.pos > h.h),
+r AS (SELECT conv_id, row_number() OVER w AS depth, text,
+             sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (
+               PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)) AS node
+      FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+      UNION ALL SELECT conv_id, 0, '', '' FROM c),
+p AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+             depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM r),
+n AS (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+             any_value(octet_length(encode(text))) AS bytes,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), ''))
+               AS ends_sha256
+      FROM p GROUP BY node, depth),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+w AS (SELECT n.*, coalesce(kids.n_children, 0) AS n_children FROM n LEFT JOIN kids USING (node, depth)),
+below AS (SELECT a.node, a.depth, CAST(sum((w.n_convs - 1) * w.bytes) AS BIGINT) AS saved_tokens,
+                 CAST(count(*) FILTER (w.n_children = 0) AS BIGINT) AS n_leaves
+          FROM w JOIN p d ON d.node = w.node AND d.depth = w.depth AND d.conv_id = w.conv_id
+          JOIN p a ON a.conv_id = d.conv_id AND a.depth <= d.depth GROUP BY a.node, a.depth)
+SELECT w.conv_id, w.depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, below.n_leaves,
+       below.saved_tokens, w.ends_sha256
+FROM w JOIN below USING (node, depth) LEFT JOIN w up ON up.node = w.parent AND up.depth = w.depth - 1
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -147,7 +193,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_simhash, op3_lm_score, op4_exact_dedup, op5_token_counts, op6_decontaminate,
-    op7_licenses, op8_pii, op9_warc, op10_packing, op11_hard_negatives, op13_byte_bpe, pipeline)}
+    op7_licenses, op8_pii, op9_warc, op10_packing, op11_hard_negatives, op12_prefix_trie, op13_byte_bpe,
+    pipeline)}
 
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op9_warc": OP9_SQL,
-           "op11_hard_negatives": OP11_SQL}
+           "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
