@@ -4,9 +4,11 @@ Templates are word sequences of licence notices, each with mandatory key phrases
 table counts in how many documents each template word occurs. The index keeps the positions of every
 template word. Of the template words that a document holds, the ``anchors`` of highest IDF are looked
 up, for each template whose mandatory words are all there; each occurrence votes for
-``(template, document position - template position)``. Where votes of different words meet at one
-relative position (give or take ``slack`` words), the mandatory phrases are looked up word by word
-around their places, and the score is the IDF share of template words found in place.
+``(template, document position - template position)``. So does every place at which a mandatory phrase
+stands, whatever the anchors are: a match has all its mandatory phrases about their places, so each of its
+relative positions is proposed. There (give or take ``slack`` words) the mandatory phrases are looked up
+word by word around their places, and the score is the IDF share of template words found in place. The
+anchors only tell which relative positions are tried first.
 
 Base phrases (``BASE``) are searched everywhere by themselves; the method's labels are added to theirs.
 
@@ -97,15 +99,30 @@ class Index:
                 for t, q in self.postings[w]:
                     if t in asked[w]:
                         votes.setdefault(t, {}).setdefault(p - q, set()).add(w)
-        found: dict[str, float] = {}
+        tried: dict[int, dict[int, int]] = {}
         for t, offsets in votes.items():
-            label = self.templates[t][0]
+            places = tried.setdefault(t, {})
             for offset in offsets:
                 near = set().union(*(offsets.get(offset + d, ()) for d in range(-self.slack, self.slack + 1)))
                 if len(near) >= 2:
-                    s = self._verify(words, t, offset)
-                    if s >= self.min_score:
-                        found[label] = max(s, found.get(label, 0.0))
+                    places[offset] = len(near)
+        line = b" " + b" ".join(words) + b" "
+        for t, needed in enumerate(self.needed):
+            if needed <= have:
+                at, own = self.templates[t][2][0]
+                places = tried.setdefault(t, {})
+                for p in _phrase_places(line, own):
+                    for d in range(-self.slack, self.slack + 1):
+                        places.setdefault(p - at + d, 0)
+        found: dict[str, float] = {}
+        for t, places in tried.items():
+            label = self.templates[t][0]
+            for offset in sorted(places, key=lambda o: -places[o]):
+                if found.get(label) == 1.0:
+                    break  # no place can be better
+                s = self._verify(words, t, offset)
+                if s >= self.min_score:
+                    found[label] = max(s, found.get(label, 0.0))
         return found
 
     def _verify(self, words: list[bytes], t: int, offset: int) -> float:
@@ -124,20 +141,22 @@ class Index:
         return hit / total if total else 0.0
 
 
+def _phrase_places(line: bytes, phrase: list[bytes]):
+    """First words of the places of a phrase in a line of words (a blank before, between and behind them)."""
+    own = b" " + b" ".join(phrase) + b" "
+    at = line.find(own)
+    word, counted = 0, 0
+    while at >= 0:
+        word += line.count(b" ", counted, at)
+        counted = at
+        yield word
+        at = line.find(own, at + 1)
+
+
 def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     """``(first word, label)`` of every place of a base phrase."""
     line = b" " + b" ".join(words) + b" "
-    out = []
-    for phrase, label in BASE.items():
-        own = b" " + phrase.encode() + b" "
-        at = line.find(own)
-        word, counted = 0, 0
-        while at >= 0:
-            word += line.count(b" ", counted, at)
-            counted = at
-            out.append((word, label))
-            at = line.find(own, at + 1)
-    return out
+    return [(word, label) for phrase, label in BASE.items() for word in _phrase_places(line, phrase.encode().split())]
 
 
 def idf(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, float]:

@@ -57,3 +57,37 @@ def test_mandatory_phrase_is_needed(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(docs(spark, []).limit(0)).count() == 0
+
+
+def _best_of_all_offsets(index, words):
+    """Labels by verifying every template at every offset."""
+    found = {}
+    for t, (label, template, _, _) in enumerate(index.templates):
+        for offset in range(-len(template), len(words) + 1):
+            s = index._verify(words, t, offset)
+            if s >= index.min_score:
+                found[label] = max(s, found.get(label, 0.0))
+    return found
+
+
+def test_no_place_is_lost_to_the_anchors():
+    """Also where a template's rarest words stand elsewhere in the text, more often than in place."""
+    import random
+
+    from ledgerlens.llm import licenses
+    rng = random.Random(5)
+    vocabulary = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()})
+    weights = {w.encode(): rng.random() * 5 for w in vocabulary}
+    index = licenses.Index(licenses.TEMPLATES, weights)
+    seen = set()
+    for t, (label, text, phrases) in enumerate(licenses.TEMPLATES):
+        rare = sorted(set(text.split()), key=lambda w: (-weights[w.encode()], w))[:3]
+        needed = {w for p in phrases for w in p.split()}
+        cut = [w if w not in rare or w in needed else "x" for w in text.split()]
+        for parts in (cut, [w for w in cut if w != "x" or rng.random() < 0.7], text.split()):
+            noise = [rng.choice(vocabulary + rare * 9) for _ in range(60)]
+            words = [w.encode() for w in noise[:30] + parts + noise[30:] + rare]
+            want = _best_of_all_offsets(index, words)
+            assert index.match(words) == want
+            seen |= set(want)
+    assert len(seen) > 10
