@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from ledgerlens.session import cut_lineage
 
@@ -30,15 +31,17 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _winners(rows: DataFrame, salts: int, carried: str | None = None) -> DataFrame:
-    """One row per distinct ``(_digest, _text)`` of rows ``(_id, _digest, _text[, carried])``."""
-    def best(c):  # the carried row of the largest id; its hash breaks ties of repeated ids
-        return F.max(c).alias(c)
-
+def _winners(rows: DataFrame, salts: int, carried: str | None = None, order: str | None = None) -> DataFrame:
+    """One row per distinct ``(_digest, _text)`` of rows ``(_id, _digest, _text[, carried[, order]])``: the
+    largest ``carried``, or that of the largest ``order`` where ``carried`` has no order."""
     first = [F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_size")]
     again = [F.max("_id").alias("_id"), F.sum("_size").alias("_size")]
-    if carried:
-        first, again = [best(carried)] + first, [best(carried)] + again
+    if order:
+        best = [F.max_by(carried, order).alias(carried), F.max(order).alias(order)]
+        first, again = best + first, best + again
+    elif carried:
+        best = F.max(carried).alias(carried)
+        first, again = [best] + first, [best] + again
     salted = (rows.withColumn("_salt", F.spark_partition_id() % salts)
                   .groupBy("_digest", "_salt", "_text").agg(*first))
     return salted.groupBy("_digest", "_text").agg(*again)
@@ -69,10 +72,18 @@ def exact_groups(docs: DataFrame, digest: Digest = sha256, salts: int = SALTS) -
         F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
+def _ordered(kind: DataType) -> bool:
+    """Have values of this type an order? (Maps and variants have none, nor what holds them.)"""
+    if isinstance(kind, StructType):
+        return all(_ordered(f.dataType) for f in kind.fields)
+    return _ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def drop_copies(docs: DataFrame, digest: Digest = sha256, salts: int = SALTS) -> DataFrame:
     """One row of ``docs`` per distinct text: that with the largest ``doc_id``, columns unchanged.
 
-    Rows that also share the ``doc_id`` collapse to the one whose other columns are largest.
+    Rows that also share the ``doc_id`` collapse to the one whose other columns are largest; columns without
+    an order, such as maps, are compared as JSON text.
     """
     others = [c for c in docs.columns if c not in ("text", "doc_id")]
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -80,7 +91,13 @@ def drop_copies(docs: DataFrame, digest: Digest = sha256, salts: int = SALTS) ->
         F.col("doc_id").alias("_id"), text.alias("_text"),
         F.struct(F.col("doc_id").alias("i"), F.col("text").isNull().alias("n"),
                  *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("_row"))
-    kept = _winners(rows.withColumn("_digest", digest(F.col("_text"))), salts, carried="_row")
+    order = None
+    if not all(_ordered(docs.schema[c].dataType) for c in others):
+        order = "_order"
+        rows = rows.withColumn(order, F.struct("_row.i", "_row.n", *[
+            F.col(f"_row.c{k}") if _ordered(docs.schema[c].dataType) else F.to_json(F.struct(f"_row.c{k}")).alias(f"c{k}")
+            for k, c in enumerate(others)]))
+    kept = _winners(rows.withColumn("_digest", digest(F.col("_text"))), salts, "_row", order)
     place = {c: f"c{k}" for k, c in enumerate(others)}
     return kept.select(*[
         F.when(~F.col("_row.n"), F.col("_text")).alias(c) if c == "text"

@@ -59,3 +59,11 @@ def test_empty_table(spark):
     df = docs(spark, []).limit(0)
     assert exact_dedup.exact_groups(df).count() == 0
     assert exact_dedup.drop_copies(df).count() == 0
+
+
+def test_columns_without_an_order_come_along(spark):
+    from ledgerlens.llm import exact_dedup
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'a', map('k', 1), array(map(1, 2))), (3L, 'a', map('k', 2), null),
+                      (3L, 'a', map('k', 9), null), (2L, 'b', null, array()) AS t(doc_id, text, m, n)""")
+    got = sorted((r.doc_id, r.text, r.m, r.n) for r in exact_dedup.drop_copies(df).collect())
+    assert got == [(2, "b", None, []), (3, "a", {"k": 9}, None)]
