@@ -26,7 +26,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.text import utf8
+from ledgerlens.llm.text import utf8, worker_state
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of distinct pre-tokens and their ids that a task holds; then it starts anew (results do not change).
@@ -176,10 +175,8 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.find(text or ""))), dtype="<u4")
 
 
-@lru_cache(maxsize=1)
 def _encoder(path: str, pattern: str) -> Encoder:
-    """A worker's encoder; it outlives a task, as loading the vocabulary costs more than many a task."""
-    return Encoder(path, pattern)
+    return worker_state(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 class Decoder:

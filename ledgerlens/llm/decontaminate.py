@@ -21,7 +21,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.text import alnum_words, map_rows, utf8
+from ledgerlens.llm.text import alnum_words, map_rows, slices, utf8
 
 WINDOW = 10
 MAX_BROADCAST = 32 << 20
@@ -95,6 +95,20 @@ def _blocks(benchmark: DataFrame, n: int, max_broadcast: int):
         yield sc.broadcast(WindowIndex([tuple(r) for r in own.collect()], n))
 
 
+def _merged(spans):
+    """``merge_ranges`` of sorted spans as a column."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+
+    def take(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        apart = (F.size(done) == 0) | (s["start"] > last["end"])
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(F.concat(rest, F.array(joined)))
+
+    return F.aggregate(spans, F.array().cast(kind), take)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
               max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit, n_items, item_ids, spans`` (hit ranges in words)."""
@@ -124,13 +138,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
         every = parts[0].withColumn("_first", F.lit(1))
         for p in parts[1:]:
             every = every.unionByName(p.withColumn("_first", F.lit(0)))
-        spans = F.udf(lambda s: [{"start": a, "end": b} for a, b in
-                                 merge_ranges((x["start"], x["end"]) for x in s)],
-                      "array<struct<start:long,end:long>>")
         hits = (every.groupBy("_row", "doc_id", "n_words")
                      .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
                           F.flatten(F.collect_set("spans")).alias("spans"), F.sum("_first").alias("_times"))
-                     .withColumn("spans", spans("spans"))
+                     .withColumn("spans", _merged(F.array_sort("spans")))
                      .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return hits.select("doc_id", "n_words", covered.alias("n_hit"),
@@ -144,7 +155,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
 
     for index in _blocks(benchmark, n, max_broadcast):
         def clean(batches, index=index):
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not index.value.scan(alnum_words(t))[0] for t in texts],
                                             type=pa.bool_()))
@@ -169,7 +180,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW,
             return raw.decode("utf-8")
 
         def strip(batches, cut=cut):
-            for batch in batches:
+            for batch in slices(batches):
                 k = batch.schema.get_field_index("text")
                 yield batch.set_column(k, batch.schema.field(k), pa.array(
                     [cut(t) for t in batch.column(k).to_pylist()], type=batch.schema.field(k).type))

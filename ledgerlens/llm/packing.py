@@ -20,7 +20,6 @@ import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ledgerlens.llm import tokens
+from ledgerlens.llm.text import slices, to_batch, worker_state
 
 SEQUENCE = 2048
 END_ID = 1
@@ -42,6 +42,7 @@ class Encoder(dict):
     def __init__(self, path: str, end_id: int = END_ID):
         super().__init__()
         self.splitter = tokens.Splitter(path)
+        self.splitter.spec = None  # its vocabulary is in the model
         self.model = self.splitter.tokenizer.model
         self.end = array("I", [end_id]).tobytes()
         self.pieces: dict[str | int, bytes] = {}
@@ -71,12 +72,6 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, tokens.chunks(text))) + self.end, dtype="<u4")
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """A worker's encoder; its caches outlive a task."""
-    return Encoder(path)
-
-
 def capacities(total: int, size: int = SEQUENCE) -> list[int]:
     """Sequence lengths that hold ``total`` tokens without padding."""
     rest = total % size
@@ -154,13 +149,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, block_tokens: int = BLO
     from pyspark.sql.types import _parse_datatype_string
     target = to_arrow_schema(_parse_datatype_string(schema))
 
-    from ledgerlens.llm.text import to_batch
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = worker_state(("packing", path), lambda: Encoder(path))
         base = TaskContext.get().partitionId() << 36
         ids, block, size, sequences = [], [], 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             keys, texts = (c.to_pylist() for c in batch.columns)
             for k, t in zip(keys, texts):
                 ids.append(k)

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlens.llm.text import fold, map_rows, utf8
+from ledgerlens.llm.text import fold, map_rows, slices, utf8, worker_state
 
 HELD_OUT_FOLDS = 5
 THRESHOLD = 0.3
@@ -121,6 +121,10 @@ class Ftrl:
         self.n[at] += g * g
 
 
+def _features(settings: Settings) -> Features:
+    return worker_state(("quality", settings), lambda: Features(settings))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, s: Settings, folds: int) -> DataFrame:
     own = (labels.select("doc_id", F.col("quality").alias("_y"))
                  .where(F.col("doc_id").isNotNull() & F.col("_y").isNotNull() & (fold("doc_id", folds) != 0))
@@ -136,10 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     """Averaged weights of the shards, ``2**bits`` features and then the bias."""
     s = settings
 
+    def sparse(columns, features):
+        return [(*rest, at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes())
+                for *rest, t in zip(*columns) for at, x in [features(t)]]
+
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("_order")
-        features, model = Features(s), Ftrl(s)
-        rows = [(at.astype(np.int32), x.astype(np.float32)) for at, x in map(features, pdf["text"])]
+        # Of rows that share an id, the one with the smallest text digest is learned from.
+        pdf = pdf.sort_values(["_order", "doc_id", "_digest"]).drop_duplicates("doc_id")
+        model = Ftrl(s)
+        rows = [(np.frombuffer(a, dtype=np.int32), np.frombuffer(x, dtype=np.float32))
+                for a, x in zip(pdf["_at"], pdf["_x"])]
         labels_ = pdf["_y"].to_numpy(dtype=float)
         for _ in range(s.epochs):
             for (at, x), y in zip(rows, labels_):
@@ -147,9 +157,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
         return pd.DataFrame({"n": [len(pdf)], "w": [model.weights().astype("<f4").tobytes()]})
 
     h = F.xxhash64("doc_id", F.lit("quality"))
+    columns = ["doc_id", "_y", "_order", "_shard", "_digest"]
     dealt = _sample(docs, labels, s, folds).select(
-        "doc_id", "text", F.col("_y").cast("double").alias("_y"), h.alias("_order"),
-        F.pmod(h, F.lit(s.shards)).alias("_shard"))
+        "doc_id", F.col("_y").cast("double").alias("_y"), h.alias("_order"),
+        F.pmod(h, F.lit(s.shards)).alias("_shard"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_digest"), "text")
+    # Texts become sparse features, of at most 4 * 2**bits numbers, where they are read.
+    dealt = map_rows(dealt, sparse, f"doc_id {dict(docs.dtypes)['doc_id']}, _y double, _order long, _shard long, "
+                     "_digest string, _at binary, _x binary", [*columns, "text"], before=lambda: _features(s))
     shares = dealt.groupBy("_shard").applyInPandas(shard, "n long, w binary").collect()
     total = sum(r.n for r in shares)
     w = np.zeros((1 << s.bits) + 1)
@@ -171,9 +185,9 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
 
     if keep:
         def scored(batches):
-            features = Features(settings)
-            for batch in batches:
-                import pyarrow as pa
+            import pyarrow as pa
+            features = _features(settings)
+            for batch in slices(batches):
                 p = [probability(features, t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
                 yield batch.filter(pa.array([v >= threshold for v in p], type=pa.bool_()))
         return docs.mapInArrow(scored, docs.schema)
@@ -185,4 +199,4 @@ def score(docs: DataFrame, weights: np.ndarray, settings: Settings = Settings(),
     id_type = dict(docs.dtypes)["doc_id"]
     return map_rows(docs.select("doc_id", (fold("doc_id", folds) == 0).alias("_held"), "text"), rows,
                     f"doc_id {id_type}, held_out boolean, score double, predicted int",
-                    ["doc_id", "_held", "text"], before=lambda: Features(settings))
+                    ["doc_id", "_held", "text"], before=lambda: _features(settings))

@@ -6,6 +6,8 @@ that only name ASCII characters split bytes and characters at the same places.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -36,6 +38,38 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+_state: list = [None, None]
+
+
+def worker_state(key: tuple, make: Callable[[], object]):
+    """The tables and caches of the operator at work in this Python worker.
+
+    Workers live on from task to task and from stage to stage. What one operator has built serves its next
+    task; as soon as another operator asks for its own, the earlier one's goes back to the system, so that a
+    worker never holds the caches of two stages."""
+    if _state[0] != key:
+        _state[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: freed memory stays with the process
+        _state[:] = [key, make()]
+    return _state[1]
+
+
+#: Rows that are Python objects at a time.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches: whole texts are copied into Python objects a few at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], schema: str, columns: list[str],
              before: Callable[[], object] | None = None) -> DataFrame:
     """Apply ``fn`` to the value lists of ``columns``, batch by batch; ``fn`` returns output tuples.
@@ -44,7 +78,7 @@ def map_rows(df: DataFrame, fn: Callable[[list], list[tuple]], schema: str, colu
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (before(),) if before else ()
-        for batch in batches:
+        for batch in slices(batches):
             rows = fn([c.to_pylist() for c in batch.columns], *state)
             if rows:
                 yield to_batch(rows, target)

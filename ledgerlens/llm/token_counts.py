@@ -15,13 +15,12 @@ counted separately; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from ledgerlens.llm import tokens
-from ledgerlens.llm.text import map_rows, utf8
+from ledgerlens.llm.text import map_rows, utf8, worker_state
 
 TOKEN_LIMIT = 2048
 #: Symbols merged together at a time.
@@ -140,12 +139,6 @@ class TokenCounter:
         return [sum(map(self.by_chunk.__getitem__, s)) for s in split]
 
 
-@lru_cache(maxsize=1)
-def _counter(path: str) -> TokenCounter:
-    """A worker's counter; its caches outlive a task."""
-    return TokenCounter(path)
-
-
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_tokens, over_limit`` of the whole text.
 
@@ -164,4 +157,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = TO
 
     id_type = dict(docs.dtypes)["doc_id"]
     return map_rows(docs, count, f"doc_id {id_type}, n_bytes long, n_tokens long, over_limit boolean",
-                    ["doc_id", "text"], before=lambda: _counter(path))
+                    ["doc_id", "text"], before=lambda: worker_state(("token_counts", path), lambda: TokenCounter(path)))

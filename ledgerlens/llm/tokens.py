@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Distinct chunks a worker holds; above it the cache starts anew (results do not change).
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 # The rules for which chunks may be cut here.
 _NORMALIZER = {"type": "Sequence", "normalizers": [

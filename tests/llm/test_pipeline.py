@@ -13,7 +13,8 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "simhash", "decontaminate", "packing"]
     assert sorted(QUERIES) == sorted(
         ["op1_quality", "op2_simhash", "op3_lm_score", "op4_exact_dedup", "op5_token_counts", "op6_decontaminate",
-         "op7_licenses", "op8_pii", "op9_warc", "op10_packing", "pipeline"])
+         "op7_licenses", "op8_pii", "op9_warc", "op10_packing", "op11_hard_negatives", "op12_prefix_trie",
+             "op13_byte_bpe", "pipeline"])
     assert set(ORACLES) <= set(QUERIES)
 
 

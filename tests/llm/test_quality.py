@@ -81,3 +81,14 @@ def test_empty_tables(spark):
     w = quality.train(df, labels_of(spark, labels).limit(0), SMALL)
     assert {r.score for r in quality.score(df, w, SMALL).collect()} == {0.5}
     assert quality.score(df.limit(0), w, SMALL).count() == 0
+
+
+def test_model_does_not_depend_on_the_order_of_rows(spark):
+    """Also where ids repeat with other texts."""
+    from ledgerlens.llm import quality
+    rows = [(i % 40, f"word{i % 7} sign!! {'x ' * (i % 11)}", "en", "s", 1) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    first = quality.train(spark.createDataFrame(rows, schema).coalesce(1), labels)
+    again = quality.train(spark.createDataFrame(rows[::-1], schema).repartition(5), labels)
+    assert (first == again).all() and first.any()
