@@ -48,6 +48,7 @@ class Fit:
     trees: int = 100
     depth: int = 30
     min_leaf: int = 1
+    min_split: int = 2
     candidates: int = 0  # predictors that a split may use; 0: all (regression) or the root of their number
     bootstrap: bool = True
     weights: tuple[float, ...] = ()  # of the classes
@@ -128,10 +129,12 @@ def _kind(borders: list[np.ndarray]) -> np.dtype:
     return np.dtype(np.uint8 if max(map(len, borders), default=0) < 256 else np.uint16)
 
 
-def _mix(a: np.ndarray | int, b: int) -> np.ndarray:
+def _mix(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
     """A hash of 64-bit numbers (the finaliser of splitmix64)."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    b = np.asarray(b % 2 ** 64 if isinstance(b, int) else b, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        z = np.asarray(a, dtype=np.uint64) + np.uint64((b * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) % 2 ** 64)
+        z = np.asarray(a, dtype=np.uint64) + b * step + step
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
@@ -146,16 +149,14 @@ def _bag(keys: np.ndarray, fit: int, tree: int, seed: int) -> np.ndarray:
     return np.searchsorted(_POISSON, unit).astype(np.float64)
 
 
-def _drawn(fit: Fit, number: int, tree: int, nodes: np.ndarray) -> np.ndarray:
-    """Which predictors each node may use (nodes x predictors)."""
-    n, m = len(fit.predictors), fit.draws()
-    if m >= n:
-        return np.ones((len(nodes), n), dtype=bool)
-    base = _mix(_mix(nodes.astype(np.uint64), number * 1_000_003 + tree), fit.seed + 7)
-    order = np.argsort(np.stack([_mix(base, k) for k in range(n)], axis=1), axis=1)
-    out = np.zeros((len(nodes), n), dtype=bool)
-    np.put_along_axis(out, order[:, :m], True, axis=1)
-    return out
+def _order(fit: Fit, number: int, trees: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """In which order each node tries the predictors (nodes x predictors): it stops after ``fit.draws()`` of
+    them if one can split it, else at the first one that can."""
+    n = len(fit.predictors)
+    if fit.draws() >= n:
+        return np.broadcast_to(np.arange(n), (len(nodes), n))
+    base = _mix(_mix(nodes, np.uint64(number * 1_000_003) + trees.astype(np.uint64)), fit.seed + 7)
+    return np.argsort(np.stack([_mix(base, k) for k in range(n)], axis=1), axis=1, kind="stable")
 
 
 def _stats(fit: Fit, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -183,64 +184,83 @@ def _worth(gain: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return gain > 1e-12 * np.maximum(1, np.abs(whole).max(axis=-1))
 
 
-def histogram_splits(fit: Fit, number: int, tree: int, nodes: np.ndarray, hist: np.ndarray) -> tuple:
-    """Best predictor and bin (rows up to it go left; -1: a leaf) of each node from its histogram
-    ``(nodes, predictors, bins, statistics)``; of equal splits the first."""
-    left = np.cumsum(hist, axis=2)
-    whole = left[:, :, -1:, :]
+def _gains(fit: Fit, left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Loss of impurity of splits with these sums on the left; -inf where a side is too small."""
     right = whole - left
     gain = _impurity(fit, whole) - _impurity(fit, left) - _impurity(fit, right)
     least = max(fit.min_leaf, 1)
-    gain[(left[..., -1] < least) | (right[..., -1] < least)] = -np.inf
-    gain = np.where(_allowed(fit, number, tree, nodes, np.isfinite(gain).any(axis=2))[:, :, None], gain, -np.inf)
-    gain = gain.reshape(len(nodes), -1)
-    at = gain.argmax(axis=1)
-    good = _worth(gain[np.arange(len(nodes)), at], whole[:, 0, 0, :])
-    return np.where(good, at // hist.shape[2], -1), at % hist.shape[2]
-
-
-def _allowed(fit: Fit, number: int, tree: int, nodes: np.ndarray, useful: np.ndarray) -> np.ndarray:
-    """The drawn predictors of each node; all where none of them can split it."""
-    drawn = _drawn(fit, number, tree, nodes)
-    return drawn | ~(drawn & useful).any(axis=1, keepdims=True)
-
-
-def _sorted_splits(fit: Fit, number: int, tree: int, nodes: np.ndarray, own: np.ndarray, codes: np.ndarray,
-                   stats: np.ndarray, orders: list[np.ndarray]) -> tuple:
-    """``histogram_splits`` of rows whose ``orders`` (by node and code, for each predictor) are known, and the
-    sums of each node. Costs by rows, not by bins: deep levels have many small nodes."""
-    n, least = len(nodes), max(fit.min_leaf, 1)
-    gains = np.full((n, len(orders)), -np.inf)
-    cuts = np.zeros((n, len(orders)), dtype=np.int64)
-    place = own[orders[0]]
-    starts = np.searchsorted(place, np.arange(n))
-    whole = None
-    for p, order in enumerate(orders):
-        sums = np.cumsum(stats[order], axis=0)
-        before = np.concatenate([np.zeros((1, sums.shape[1])), sums])[starts]
-        if whole is None:
-            whole = sums[np.append(starts[1:], len(order)) - 1] - before
-            rest = _impurity(fit, whole)
-        code = codes[p, order]
-        ends = np.flatnonzero((code[:-1] != code[1:]) & (place[:-1] == place[1:]))
-        at = place[ends]
-        left = sums[ends] - before[at]
-        right = whole[at] - left
-        fits = (left[:, -1] >= least) & (right[:, -1] >= least)
-        ends, at, left, right = ends[fits], at[fits], left[fits], right[fits]
-        if not len(ends):
-            continue
-        gain = rest[at] - _impurity(fit, left) - _impurity(fit, right)
-        here, first = np.unique(at, return_index=True)
-        best = np.maximum.reduceat(gain, first)
-        gains[here, p] = best
-        top = np.flatnonzero(gain == best[np.searchsorted(here, at)])
-        cuts[here, p] = code[ends[top[np.searchsorted(at[top], here)]]]
-    gains = np.where(_allowed(fit, number, tree, nodes, np.isfinite(gains)), gains, -np.inf)
-    predictor = gains.argmax(axis=1)
-    every = np.arange(n)
-    good = _worth(gains[every, predictor], whole)
-    return np.where(good, predictor, -1), cuts[every, predictor], whole
+    return np.where((left[..., -1] < least) | (right[..., -1] < least), -np.inf, gain)
+
+
+def histogram_split(fit: Fit, number: int, tree: int, node: int, hist: np.ndarray) -> tuple[int, int]:
+    """Best predictor and bin (rows up to it go left; -1: a leaf) of a node from its histogram ``(predictors,
+    bins, statistics)``; of equal splits the first tried."""
+    left = np.cumsum(hist, axis=1)
+    whole = left[0, -1]
+    if whole[-1] < fit.min_split:
+        return -1, 0
+    gain = _gains(fit, left, whole)
+    best, found, cut = -np.inf, -1, 0
+    for k, p in enumerate(_order(fit, number, np.array([tree]), np.array([node], dtype=np.uint64))[0]):
+        if k >= fit.draws() and found >= 0:
+            break
+        at = int(gain[p].argmax())
+        if gain[p, at] > best:
+            best, found, cut = gain[p, at], int(p), at
+    return (found, cut) if found >= 0 and _worth(best, whole) else (-1, 0)
+
+
+def _best_cuts(fit: Fit, own: np.ndarray, code: np.ndarray, stats: np.ndarray, whole: np.ndarray, bins: int) -> tuple:
+    """Best gain and cut of each node by one predictor; ``own`` and ``code`` are the rows' nodes and bins."""
+    n, k = len(whole), stats.shape[1]
+    key = own * bins + code
+    if n * bins <= 4 * len(own) + 1024:
+        hist = np.stack([np.bincount(key, weights=c, minlength=n * bins) for c in stats.T], axis=1).reshape(n, bins, k)
+        gain = _gains(fit, np.cumsum(hist, axis=1), whole[:, None, :])
+        cut = gain.argmax(axis=1)
+        return gain[np.arange(n), cut], cut
+    # Many small nodes: costs by rows, not by bins.
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = np.cumsum(np.add.reduceat(stats[order], first, axis=0), axis=0)
+    node, code = key[first] // bins, key[first] % bins
+    starts = np.searchsorted(node, np.arange(n))
+    before = np.concatenate([np.zeros((1, k)), sums])[starts]
+    gain = _gains(fit, sums - before[node], whole[node])
+    best, cut = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+    here = np.unique(node)
+    best[here] = np.maximum.reduceat(gain, starts[here])
+    top = np.flatnonzero(gain == best[node])
+    cut[here] = code[top[np.searchsorted(node[top], here)]]
+    return best, cut
+
+
+def _splits(fit: Fit, number: int, trees: np.ndarray, nodes: np.ndarray, own: np.ndarray, rows: np.ndarray,
+            codes: np.ndarray, stats: np.ndarray, bins: int) -> tuple:
+    """Predictor (-1: a leaf), cut and sums of each node of a level; ``rows`` are the live rows, ``own`` their
+    nodes."""
+    n = len(nodes)
+    whole = np.stack([np.bincount(own, weights=c, minlength=n) for c in stats.T], axis=1)
+    tried = _order(fit, number, trees, nodes)
+    best, predictor, cut = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, dtype=np.int64)
+    open_ = (whole[:, -1] >= fit.min_split) & _worth(_impurity(fit, whole), whole)
+    for slot in range(len(fit.predictors)):
+        if slot >= fit.draws():
+            open_ &= predictor < 0
+        if not open_.any():
+            break
+        if open_.all():
+            which, o, s, r = slice(None), own, stats, rows
+        else:
+            which = np.flatnonzero(open_)
+            use = open_[own]
+            o, s, r = (np.cumsum(open_) - 1)[own[use]], stats[use], rows[use]
+        gain, at = _best_cuts(fit, o, codes[tried[which, slot][o], r].astype(np.int64), s, whole[which], bins)
+        better = gain > best[which]
+        name = np.arange(n)[which][better]
+        best[name], cut[name], predictor[name] = gain[better], at[better], tried[name, slot]
+    return np.where(_worth(best, whole), predictor, -1), cut, whole
 
 
 def _histogram(codes: np.ndarray, place: np.ndarray, n: int, bins: int, stats: np.ndarray) -> np.ndarray:
@@ -263,61 +283,63 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[:, first], place
 
 
+#: Rows of all trees that are grown together.
+TOGETHER = 200_000
+
+
 def grow_and_predict(fit: Fit, number: int, trees: range, root: int, codes: np.ndarray, y: np.ndarray,
                      keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Grow the subtrees of node ``root`` (1 is a tree's root, 2n and 2n+1 are children) of some trees from
     rows' bin codes (predictors x rows), targets and keys, and return the answers of the rows ``asked``
     (predictors x rows), added up over the trees: a mean, or a share for each class.
 
-    Rows of equal codes go one way: they are one row, found once for all trees."""
+    Rows of equal codes go one way: they are one row, found once for all trees. Small trees are grown
+    together, level by level."""
     asked, back = _distinct(asked)
     total = np.zeros((asked.shape[1], max(1, fit.classes)))
     codes, place = _distinct(codes)
-    orders = [np.argsort(c, kind="stable") for c in codes]
-    for tree in trees:
-        w = _bag(keys, number, tree, fit.seed) if fit.bootstrap else np.ones(len(keys))
-        stats = np.stack([np.bincount(place, weights=c, minlength=codes.shape[1]) for c in _stats(fit, y, w).T], axis=1)
-        used = stats[:, -1] > 0
-        if used.any():
-            total += _grow(fit, number, tree, root, codes, stats, [o[used[o]] for o in orders], asked)
+    step = max(1, TOGETHER // max(1, codes.shape[1], asked.shape[1]))
+    for lo in range(trees.start, trees.stop, step):
+        some = range(lo, min(trees.stop, lo + step))
+        stats = []
+        for tree in some:
+            w = _bag(keys, number, tree, fit.seed) if fit.bootstrap else np.ones(len(keys))
+            stats.append(np.stack([np.bincount(place, weights=c, minlength=codes.shape[1]) for c in _stats(fit, y, w).T], axis=1))
+        total += _grow(fit, number, np.array(some), root, codes, np.stack(stats), asked)
     return total[back]
 
 
-def _grow(fit: Fit, number: int, tree: int, root: int, codes: np.ndarray, stats: np.ndarray,
-          orders: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
-    """Answers of one tree; ``orders`` are the rows of the bag, sorted by the codes of each predictor."""
-    level = root.bit_length() - 1
-    answers = np.zeros((asked.shape[1], max(1, fit.classes)))
-    own, where, want = np.full(codes.shape[1], -1), np.zeros(len(answers), dtype=np.int64), np.arange(len(answers))
-    own[orders[0]] = 0
-    names = np.array([root], dtype=np.uint64)
+def _grow(fit: Fit, number: int, trees: np.ndarray, root: int, codes: np.ndarray, stats: np.ndarray,
+          asked: np.ndarray) -> np.ndarray:
+    """Answers of some trees, added up; ``stats`` is (trees, rows, statistics)."""
+    level, t, (m, q) = root.bit_length() - 1, len(trees), (codes.shape[1], asked.shape[1])
+    bins = int(codes.max(initial=0)) + 1
+    answers = np.zeros((t * q, max(1, fit.classes)))
+    # A row of a tree is a row number and its tree; nodes of all trees are numbered together.
+    used = np.flatnonzero(stats[:, :, -1].reshape(-1) > 0)
+    own, rows, stats = used // max(1, m), used % max(1, m), stats.reshape(t * m, -1)[used]
+    want, where = np.arange(t * q), np.repeat(np.arange(t), q)
+    names, tree_of = np.full(t, root, dtype=np.uint64), trees
     while len(names):
-        predictor, cut, total = _sorted_splits(fit, number, tree, names, own, codes, stats, orders)
+        predictor, cut, total = _splits(fit, number, tree_of, names, own, rows, codes, stats, bins)
         if level >= fit.depth:
             predictor[:] = -1
         leaf = predictor < 0
-        if fit.classes:
-            value = total[:, :-1] / np.maximum(total[:, :-1].sum(1, keepdims=True), 1e-300)
-        else:
-            value = (total[:, 0] / total[:, 2])[:, None]
+        weight = total[:, :-1].sum(1, keepdims=True) if fit.classes else total[:, 2:]
+        value = total[:, :max(1, fit.classes)] / np.where(weight > 0, weight, 1)
         done = leaf[where]
         answers[want[done]] = value[where[done]]
         index = np.cumsum(~leaf) - 1  # of the nodes that go on
-        live = np.flatnonzero((own >= 0) & ~leaf[np.maximum(own, 0)])
-        node = own[live]
-        own[:] = -1
-        own[live] = 2 * index[node] + (codes[predictor[node], live] > cut[node])
-        kind = np.uint16 if 2 * len(names) < 65536 else np.int64  # short numbers are sorted by digits
-        for p, order in enumerate(orders):
-            order = order[own[order] >= 0]
-            orders[p] = order[np.argsort(own[order].astype(kind), kind="stable")]
+        stay = ~leaf[own]
+        own, rows, stats = own[stay], rows[stay], stats[stay]
+        own = 2 * index[own] + (codes[predictor[own], rows] > cut[own])
         want, where = want[~done], where[~done]
-        where = 2 * index[where] + (asked[predictor[where], want] > cut[where])
+        where = 2 * index[where] + (asked[predictor[where], want % max(1, q)] > cut[where])
         # Only their hash is used, so it does not matter that numbers outgrow 64 bits in very deep trees.
-        on = names[~leaf]
-        names = np.stack([on << np.uint64(1), (on << np.uint64(1)) | np.uint64(1)], axis=1).reshape(-1)
+        on = names[~leaf] << np.uint64(1)
+        names, tree_of = np.stack([on, on | np.uint64(1)], axis=1).reshape(-1), np.repeat(tree_of[~leaf], 2)
         level += 1
-    return answers
+    return answers.reshape(t, q, answers.shape[1]).sum(axis=0)
 
 
 @dataclass
@@ -495,9 +517,9 @@ def _grow_top(blocks: DataFrame, columns: int, bins: int, sent, local_rows: int)
             f = sent.value[0][number]
             shape = (1, len(f.predictors), bins, f.classes + 1 if f.classes else 3)
             hist = sum(np.frombuffer(r["hist"]).reshape(shape) for r in rows)
-            p, cut = histogram_splits(f, number, tree, np.array([node], dtype=np.uint64), hist)
-            left = hist[0, p[0], :cut[0] + 1, -1].sum()
-            return pa.Table.from_batches([_arrow([(number, tree, node, hist[0, 0, :, -1].sum(), p[0], cut[0], left)],
+            p, cut = histogram_split(f, number, tree, node, hist[0])
+            left = float(hist[0, p, :cut + 1, -1].sum())
+            return pa.Table.from_batches([_arrow([(number, tree, node, float(hist[0, 0, :, -1].sum()), p, cut, left)],
                                                  choice_schema)], schema=choice_schema)
 
         found = blocks.mapInArrow(count, part).groupBy("fit", "tree", "node").applyInArrow(choose, choice).collect()

@@ -1,20 +1,17 @@
 """Class-balanced random forests: feature assembly, cross-validation, probabilities, storage.
 
-Each fit is a distributed Spark ML job; the cross-validation loop only schedules fits
-(a small driver thread pool runs a few concurrently) and stacks the held-out predictions
-for one metrics aggregation.
+Models that are kept are Spark ML forests; cross-validation, which only needs predictions, grows all its
+forests in one job (``cv``).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.model.evaluate import class_weights, classification_metrics
-from ledgerlens.operators.model.folds import stratified_folds
-from ledgerlens.session import cut_lineage
+from ledgerlens.operators.model.cv import cross_validated
 
 RF_DEFAULTS = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 1,
                "bootstrap": True}
@@ -47,24 +44,6 @@ def with_class_weights(df: DataFrame, label: str = "label", out_col: str = "weig
     return df.where(F.col(label).isNotNull()).withColumn(out_col, _weight_column(weights, label))
 
 
-def _fold_weights(data: DataFrame, label: str) -> dict:
-    """``(repeat, fold)`` -> class weights of the rows outside that fold, from one count."""
-    counts: dict = {}
-    for r in data.groupBy("repeat", "fold", label).count().collect():  # one row per repeat, fold and class
-        counts.setdefault(r["repeat"], {}).setdefault(r["fold"], {})[r[label]] = r["count"]
-    out = {}
-    for repeat, folds in counts.items():
-        for fold in folds:
-            own: dict = {}
-            for f, per_class in folds.items():
-                for c, n in per_class.items():
-                    own[c] = own.get(c, 0) + (n if f != fold else 0)
-            own = {c: n for c, n in own.items() if n}
-            total = sum(own.values())
-            out[repeat, fold] = {c: total / (len(own) * n) for c, n in own.items()}
-    return out
-
-
 def make_forest(params: dict | None = None, seed: int = 2022, label: str = "label",
                 features: str = "features", weight: str | None = "weight"):
     from pyspark.ml.classification import RandomForestClassifier
@@ -72,35 +51,31 @@ def make_forest(params: dict | None = None, seed: int = 2022, label: str = "labe
     p = dict(RF_DEFAULTS)
     p.update(params or {})
     p["maxDepth"] = min(int(p["maxDepth"]), MAX_SPARK_DEPTH)
+    p.pop("minInstancesPerSplit", None)  # Spark ML has no such setting
     rf = RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed, **p)
     if weight:
         rf.setWeightCol(weight)
     return rf
 
 
+def feature_columns(df: DataFrame, features: str = "features") -> tuple[DataFrame, list[str]]:
+    """``df`` with the vector column as one double column for each place."""
+    from pyspark.ml.functions import vector_to_array
+
+    first = df.select(F.size(vector_to_array(features)).alias("n")).first()  # one number
+    names = [f"_f{i}" for i in range(first["n"] if first else 0)]
+    wide = df.withColumn("_v", vector_to_array(features))
+    return wide.select(*[c for c in df.columns if c != features], *[F.col("_v")[i].alias(c) for i, c in enumerate(names)]), names
+
+
 def rf_cross_validate(df: DataFrame, id_col: str, label: str = "label", features: str = "features",
-                      params: dict | None = None, k: int = 10, repeats: int = 3, seed: int = 2022,
-                      parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+                      params: dict | None = None, k: int = 10, repeats: int = 3,
+                      seed: int = 2022) -> tuple[DataFrame, DataFrame]:
     """Repeated stratified CV. Returns per-(repeat, fold) metrics and the stacked predictions.
 
-    Class weights come from the training rows of each fold alone."""
-    folds = stratified_folds(df, id_col, label, k, repeats, seed)
-    data = cut_lineage(df.select(id_col, label, features).join(folds.drop(label), id_col))
-    weights = _fold_weights(data, label)
-
-    def fit_one(rf_pair):
-        r, f = rf_pair
-        train = data.where((F.col("repeat") == r) & (F.col("fold") != f)).withColumn(
-            "weight", _weight_column(weights[r, f], label))
-        test = data.where((F.col("repeat") == r) & (F.col("fold") == f))
-        model = make_forest(params, seed, label, features).fit(train)
-        return cut_lineage(model.transform(test).select(id_col, label, "repeat", "fold", "prediction",
-                                                        "probability"))
-
-    jobs = sorted(weights)
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        preds = list(ex.map(fit_one, jobs))
-    stacked = reduce(DataFrame.unionByName, preds)
+    Class weights come from the training rows of each fold alone; all folds are fitted in one job."""
+    wide, names = feature_columns(df, features)
+    stacked = cross_validated(wide, id_col, label, names, [RF_DEFAULTS | (params or {})], k, repeats, seed).drop("setting")
     return classification_metrics(stacked, label, "prediction", ["repeat", "fold"]), stacked
 
 

@@ -32,7 +32,7 @@ METRIC_REGEX = [".*degree.*", ".*pagerank.*", ".*hits.*", ".*betweenness.*", ".*
 
 def _cv(df: DataFrame, key: str, cols: list[str], name: str, k: int, repeats: int, params: dict) -> DataFrame:
     feats = assemble_features([df], key, cols)
-    metrics, _ = rf_cross_validate(feats, key, "label", "features", params, k, repeats, seed=2022, parallelism=3)
+    metrics, _ = rf_cross_validate(feats, key, "label", "features", params, k, repeats, seed=2022)
     return metrics.withColumn("experiment", F.lit(name))
 
 

@@ -92,7 +92,7 @@ SELECT doc_id, CAST(1 - label AS DOUBLE) AS p0, CAST(label AS DOUBLE) AS p1 FROM
 SELECT r::INT AS repeat, f::INT AS fold, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall,
        1.0::DOUBLE AS f1_score FROM range(3) a(r), range(10) b(f)""")
 def q_rf_separable_cv(spark, d):
-    metrics, _ = rf_cross_validate(separable(spark, d), "doc_id", params=FOREST, parallelism=4)
+    metrics, _ = rf_cross_validate(separable(spark, d), "doc_id", params=FOREST)
     return metrics.select("repeat", "fold", "accuracy", "precision", "recall", "f1_score")
 
 
@@ -129,7 +129,7 @@ def q_rf_separable_top(spark, d):
 SELECT i::INT AS candidate, 1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS f1_score FROM range(2) t(i)""")
 def q_rf_separable_search(spark, d):
     results, _, _ = rf_random_search(separable(spark, d), "doc_id", k=3, repeats=1, settings=[
-        FOREST, {**FOREST, "numTrees": 5}], parallelism=3)
+        FOREST, {**FOREST, "numTrees": 5}])
     return results.select("candidate", "accuracy", "f1_score")
 
 

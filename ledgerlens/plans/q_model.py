@@ -131,11 +131,18 @@ def q_roc_auc(spark, d):
     return roc_auc(scored_documents(spark, d), "label", "score").select(F.round("auc", 6).alias("auc"))
 
 
-@register("auc_with_fallback", sql=AUC_SQL.replace("FROM scored GROUP BY score", "FROM scored WHERE label = 1 GROUP BY score"))
+@register("auc_with_fallback", sql=SCORED_SQL + """,
+sc AS (SELECT s.doc_id, d.source, s.label, s.score FROM scored s JOIN docs d ON s.doc_id = d.doc_id),
+c AS (SELECT source, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::DOUBLE AS pos,
+             sum(CASE WHEN label = 1 THEN 0 ELSE 1 END)::DOUBLE AS neg FROM sc GROUP BY source, score),
+r AS (SELECT *, sum(neg) OVER (PARTITION BY source ORDER BY score) AS neg_cum FROM c)
+SELECT source, round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 0.5
+                          ELSE sum(pos * (neg_cum - neg + neg / 2)) / (sum(pos) * sum(neg)) END, 6) AS auc
+FROM r GROUP BY source""")
 def q_auc_with_fallback(spark, d):
-    """Scores of the positive rows only: one class present, so the area falls back to 0.5."""
-    pos_only = scored_documents(spark, d).where(F.col("label") == 1)
-    return auc_with_fallback(pos_only, "label", "score").select(F.round("auc", 6).alias("auc"))
+    """The area of each source over all its rows; a source with one class falls back to 0.5."""
+    out = auc_with_fallback(scored_documents(spark, d), "label", "score", group="source")
+    return out.select("source", F.round("auc", 6).alias("auc"))
 
 
 # ------------------------------------------------------------------ forests (rows-only)
@@ -163,19 +170,19 @@ def document_features(spark, d):
 @register("rf_cross_validate")
 def q_rf_cross_validate(spark, d):
     metrics, _ = rf_cross_validate(document_features(spark, d), "doc_id", "label", "features",
-                                   params={"numTrees": 50}, k=10, repeats=3, seed=2022, parallelism=4)
+                                   params={"numTrees": 100}, k=10, repeats=3, seed=2022)
     return metrics
 
 
 @register("predict_proba")
 def q_predict_proba(spark, d):
     feats = document_features(spark, d)
-    return predict_proba(fit_forest(feats, params={"numTrees": 50}), feats, "doc_id")
+    return predict_proba(fit_forest(feats, params={"numTrees": 100}), feats, "doc_id")
 
 
 def _importances(spark, d):
     feats = document_features(spark, d)
-    return feature_importance(spark, fit_forest(feats, params={"numTrees": 50}), DOC_FEATURES)
+    return feature_importance(spark, fit_forest(feats, params={"numTrees": 100}), DOC_FEATURES)
 
 
 @register("feature_importance")
@@ -191,14 +198,13 @@ def q_top_k_importances(spark, d):
 @register("model_store")
 def q_model_store(spark, d):
     feats = document_features(spark, d)
-    model = fit_forest(feats, params={"numTrees": 50})
+    model = fit_forest(feats, params={"numTrees": 100})
     loaded = model_store(model, stage_path(spark, "rf_model"))
     return predict_proba(loaded, feats, "doc_id")
 
 
 @register("rf_random_search")
 def q_rf_random_search(spark, d):
-    results, _, _ = rf_random_search(document_features(spark, d), "doc_id", n_iter=3, k=3, repeats=1,
-                                     seed=2022, parallelism=3)
+    results, _, _ = rf_random_search(document_features(spark, d), "doc_id", n_iter=20, k=10, repeats=3, seed=2022)
     return results
 

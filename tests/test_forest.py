@@ -29,13 +29,15 @@ def plain_tree(fit, number, tree, codes, y, w, asked):
                     if w[left].sum() >= least and w[right].sum() >= least:
                         gain = impurity(rows)[0] - impurity(left)[0] - impurity(right)[0]
                         found.append((gain, p, cut, left, right))
-            useful = np.array([[any(f[1] == p for f in found) for p in range(len(codes))]])
-            allowed = forest._allowed(fit, number, tree, np.array([name], dtype=np.uint64), useful)[0]
+            tried = forest._order(fit, number, np.array([tree]), np.array([name], dtype=np.uint64))[0].tolist()
+            able = [p for p in tried if any(f[1] == p for f in found)]
+            allowed = [p for p in tried[:fit.draws()] if p in able] or able[:1]
             top = np.abs(impurity(rows)[1]).max()
-            found = [f for f in found if allowed[f[1]] and f[0] > 1e-12 * max(1, top)]
-            if found:
+            found = [f for f in found if f[1] in allowed and w[rows].sum() >= fit.min_split]
+            if found and max(f[0] for f in found) > 1e-12 * max(1, top):
                 gain = max(f[0] for f in found)
-                best = min((f for f in found if f[0] > gain - 1e-9 * max(1, abs(gain))), key=lambda f: f[1:3])
+                best = min((f for f in found if f[0] > gain - 1e-9 * max(1, abs(gain))),
+                           key=lambda f: (tried.index(f[1]), f[2]))
         if best is None:
             out[want] = answer(rows)
             return
@@ -49,7 +51,7 @@ def plain_tree(fit, number, tree, codes, y, w, asked):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"depth": 2}, {"min_leaf": 5}, {"candidates": 1, "bootstrap": False},
+@pytest.mark.parametrize("settings", [{}, {"depth": 2}, {"min_leaf": 5}, {"min_split": 12}, {"candidates": 1, "bootstrap": False},
                                       {"classes": 3}, {"classes": 3, "weights": (1.0, 2.5, 0.5), "candidates": 2, "depth": 4}])
 def test_trees_equal_a_plain_grower(settings):
     rng = np.random.default_rng(11)
@@ -61,6 +63,9 @@ def test_trees_equal_a_plain_grower(settings):
         w = forest._bag(keys, 2, tree, 4) if f.bootstrap else np.ones(90)
         got = forest.grow_and_predict(f, 2, range(tree, tree + 1), 1, codes, y, keys, codes)
         assert got == pytest.approx(plain_tree(f, 2, tree, codes, y, w, codes), abs=1e-9)
+    some = forest.grow_and_predict(f, 2, range(3), 1, codes, y, keys, codes)
+    each = sum(forest.grow_and_predict(f, 2, range(t, t + 1), 1, codes, y, keys, codes) for t in range(3))
+    assert some == pytest.approx(each, abs=1e-9)
 
 
 def test_bags_are_poisson():
@@ -131,3 +136,45 @@ def test_unknown_targets_masks_and_empty_tables(spark):
     got = answers(df, [forest.Fit(2, (0, 1), 4, held=(1.0,), trees=5)])
     assert {i for _, i in got} == {i for i in range(200) if i % 2 == 0 and i % 5 == 1}
     assert answers(df.limit(0), [forest.Fit(2, (0, 1), 4)]) == {}
+
+
+def test_cross_validation_predicts_every_row_once_a_repeat(spark):
+    from ledgerlens.operators.model.cv import cross_validated, cross_validation_metrics
+    df = table(spark, 300).withColumn("label", F.when(F.col("id") % 50 != 7, (F.col("a") > 0.3).cast("int")))
+    df = df.withColumn("a", F.when(F.col("id") % 20 != 3, F.col("a"))).withColumn("id", F.col("id").cast("string"))
+    settings = [{"numTrees": 15, "maxDepth": 90}, {"numTrees": 5, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}]
+    got = cross_validated(df, "id", "label", ["a", "b"], settings, k=4, repeats=2).cache()
+    labelled = df.where("label is not null").count()
+    assert got.count() == 2 * 2 * labelled
+    assert got.groupBy("setting", "repeat", "id").count().where("count <> 1").isEmpty()
+    scores = {(r.setting, r.repeat, r.fold): r.accuracy for r in cross_validation_metrics(got).collect()}
+    assert len(scores) == 16 and np.mean(list(scores.values())) > 0.9
+    assert got.where("abs(probability[0] + probability[1] - 1) > 1e-9").isEmpty()
+    assert cross_validated(df.limit(0), "id", "label", ["a", "b"], settings).isEmpty()
+
+
+def test_search_covers_the_grid_and_ranks_by_f1(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from ledgerlens.operators.model.search import GRID, rf_random_search, sample_settings
+    some = sample_settings(20)
+    assert len({str(s) for s in some}) == 20 and all(s[k] in GRID[k] for s in some for k in GRID)
+    df = table(spark, 200).withColumn("label", (F.col("a") > 0).cast("int"))
+    df = VectorAssembler(inputCols=["b", "a"], outputCol="features").transform(df)
+    weak = {"numTrees": 3, "maxDepth": 1, "minInstancesPerNode": 90}
+    results, best, model = rf_random_search(df, "id", k=3, repeats=1, settings=[weak, {"numTrees": 20, "minInstancesPerSplit": 4}])
+    rows = {r.candidate: r for r in results.collect()}
+    assert rows[1].f1_score > 0.95 > rows[0].f1_score and best["numTrees"] == 20 and model.getNumTrees == 20
+
+
+def test_auc_of_groups(spark):
+    from ledgerlens.operators.model.evaluate import auc_with_fallback
+    rng = np.random.default_rng(2)
+    rows = [(g, int(rng.random() < 0.4), float(rng.integers(0, 9))) for g in ["x"] * 150 + ["y"] * 40 + [None] * 20]
+    rows += [("one", 1, 0.3), ("one", 1, 0.1), ("none", 0, 2.0)]
+    got = {r.g: r.auc for r in auc_with_fallback(spark.createDataFrame(rows, "g string, y int, s double"), "y", "s", "g").collect()}
+    for g in ("x", "y", None, "one", "none"):
+        pos = [s for k, y, s in rows if k == g and y]
+        neg = [s for k, y, s in rows if k == g and not y]
+        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else 0.5
+        assert got[g] == pytest.approx(want)

@@ -87,11 +87,11 @@ def test_scan_imputations_by_file_name(spark, tmp_path):
 
 
 def test_fold_weights_use_training_rows_only(spark):
-    from ledgerlens.operators.model.train import _fold_weights
-    rows = [(0, 0, 1)] * 3 + [(0, 0, 0)] * 1 + [(0, 1, 0)] * 4 + [(0, 2, 1)] * 2
-    got = _fold_weights(spark.createDataFrame(rows, "repeat int, fold int, label int"), "label")
-    assert got[0, 0] == {0: 6 / (2 * 4), 1: 6 / (2 * 2)}
-    assert got[0, 1] == {0: 6 / (2 * 1), 1: 6 / (2 * 5)}
+    from ledgerlens.operators.model.cv import _balanced
+    counts = {0: {1: 3, 0: 1}, 1: {0: 4}, 2: {1: 2}}
+    assert _balanced(counts, 0) == (6 / (2 * 4), 6 / (2 * 2))
+    assert _balanced(counts, 1) == (6 / (2 * 1), 6 / (2 * 5))
+    assert _balanced({0: {0: 2}, 1: {2: 1}}, 1) == (1.0, 0.0, 0.0)
 
 
 def test_embedding_keeps_every_row(spark):
