@@ -22,6 +22,7 @@ from ledgerlens.operators.model.train import (
     assemble_features, fit_forest, model_store, predict_proba, rf_cross_validate,
 )
 from ledgerlens.operators.reduce import explained_variance_cumulative, mca, pca_by_variance, scree
+from ledgerlens.operators.stored import apply_pca, store_pca
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans.registry import register
 from ledgerlens.session import stage_path
@@ -46,6 +47,17 @@ def q_pca_two_columns(spark, d):
     return _pair(spark, d)[0].select("tx_id", F.round("pca_0", 6).alias("pca_0"))
 
 
+@register("pca_store", sql=PAIR_SQL + """
+SELECT tx_id, round(((l_quantity - m1) / s1 + sign(r) * (l_extendedprice - m2) / s2) / sqrt(2.0), 6) AS pca_0
+FROM tx, st""")
+def q_pca_store(spark, d):
+    """Fitted, written, read back and applied."""
+    rows = fx.transactions(spark, d).select("tx_id", *PAIR)
+    path = stage_path(spark, "pca")
+    store_pca(rows, "tx_id", PAIR, 0.95, path)
+    return apply_pca(rows, "tx_id", spark.read.parquet(path)).select("tx_id", F.round("pca_0", 6).alias("pca_0"))
+
+
 @register("scree_two_columns", sql=PAIR_SQL + """
 SELECT component, round(v, 6) AS variance_ratio, round(sum(v) OVER (ORDER BY component), 6) AS cumulative FROM ratios""")
 def q_scree_two_columns(spark, d):

@@ -22,7 +22,8 @@ from ledgerlens.plans.registry import register
 from ledgerlens.session import stage_path
 from ledgerlens.sources.graph_export import export_edges, export_nodes, read_export
 from ledgerlens.sources.stages import (
-    export_target, scan_imputations, schema_catalog, stage_table, write_imputations,
+    export_target, scan_imputations, scan_with_catalog, schema_catalog, stage_table,
+    write_imputations,
 )
 from ledgerlens.sources.tables import scan_headerless, scan_table, write_csv
 
@@ -96,6 +97,25 @@ def q_schema_catalog(spark, d):
     return schema_catalog(fx.table(spark, d, "orders"))
 
 
+@register("scan_catalog", sql="SELECT * FROM orders")
+def q_scan_catalog(spark, d):
+    """Orders as CSV, read through their stored catalog."""
+    src = fx.table(spark, d, "orders")
+    path = write_csv(src, stage_path(spark, "orders_csv"))
+    return scan_with_catalog(spark, path, schema_catalog(src, path=stage_path(spark, "orders_catalog")))
+
+
+@register("scan_catalog_codes", sql="""
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand,
+       CAST(dense_rank() OVER (ORDER BY p_size) - 1 AS INTEGER) AS p_size FROM part""")
+def q_scan_catalog_codes(spark, d):
+    """Parts as CSV, brand and size read as the codes of the stored dictionaries."""
+    src = fx.table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    path, at = write_csv(src, stage_path(spark, "part_csv")), stage_path(spark, "part_catalog")
+    catalog = schema_catalog(src, dictionary=build_dictionary(src, ["p_brand", "p_size"]), path=at)
+    return scan_with_catalog(spark, path, catalog, spark.read.parquet(f"{at}-labels"))
+
+
 @register("export_nodes", sql="WITH " + fx.SIG_SQL + """
 SELECT DISTINCT start_node_id AS "start_node_id:ID", 'account' AS "label:LABEL" FROM sig""")
 def q_export_nodes(spark, d):

@@ -61,3 +61,36 @@ def schema_catalog(df: DataFrame, roles: DataFrame | None = None, dictionary: Da
         counts = labels.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("levels"))
         cat = cat.join(counts, "column", "left")
     return stage_table(cat, "schema_catalog", path)
+
+
+def catalog_schema(catalog: DataFrame) -> dict[str, str]:
+    """Column -> type name of a stored catalog (one row per column)."""
+    return {r["column"]: r["dtype"] for r in catalog.select("column", "dtype").collect()}
+
+
+def scan_with_catalog(spark: SparkSession, path: str, catalog: DataFrame, labels: DataFrame | None = None,
+                      unknown: int = -1) -> DataFrame:
+    """A typed scan of CSV files with a header row, by a stored catalog: no inference pass.
+
+    Columns come in the file's order. Those that the catalog does not name are left out; those that the file
+    lacks follow by name and are null; a cell that does not fit its type is null. With ``labels`` (``column, level,
+    code``), the columns that it names are read as codes: null stays null, a level that it does not know is
+    ``unknown``.
+    """
+    types = catalog_schema(catalog)
+    header = spark.read.option("header", True).csv(path).columns  # the header row only
+    schema = ", ".join(f"`{name.replace('`', '``')}` {types.get(name, 'string')}" for name in header)
+    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    names = [c for c in header if c in types] + sorted(set(types) - set(header))
+    rows = rows.select(*[F.col(f"`{c}`") if c in header else F.lit(None).cast(types[c]).alias(c) for c in names])
+    if labels is None:
+        return rows
+    from ledgerlens.operators.encode import apply_dictionary
+
+    coded = [r["column"] for r in labels.select("column").distinct().collect() if r["column"] in types]  # columns
+    coded = sorted(coded, key=names.index)
+    # Levels are known by the text of their typed value.
+    codes = apply_dictionary(rows, labels.withColumnRenamed("level", "str"), coded, suffix="__code")
+    return codes.select(*[
+        F.when(F.col(f"`{c}`").isNotNull(), F.coalesce(F.col(f"`{c}__code`"), F.lit(unknown))).alias(c) if c in coded
+        else F.col(f"`{c}`") for c in names])
