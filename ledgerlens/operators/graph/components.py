@@ -5,33 +5,49 @@ Edges are kept as ``(child, parent)`` with ``parent < child``. Rounds are O(log^
 loop ends only when the edges are depth-1 stars: no node is both child and parent, and every child
 has one parent. Running out of rounds raises. The component id of a node is the smallest node id in
 it; isolated nodes are their own component.
+
+Neighbour minima are aggregated before they are shuffled. They go back to the edges by a join on
+the node, where a hub (the centre of a star, say) would be one key with most of the rows: hubs are
+found by the neighbour counts of the same aggregate, and their edges take the minimum from a
+broadcast of bounded size instead of being shuffled (``iterate.join_split``).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.operators.graph.build import Graph
+from ledgerlens.operators.graph.iterate import hub_cutoff, join_split, partitions
 from ledgerlens.session import cut_lineage
 
 
 EDGES_PER_PARTITION = 200_000
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _minima(rows: DataFrame, key: str, value: str, cutoff: int):
+    """``(key, m)`` with the smallest ``value`` of each key, cached, and the hubs among the keys (or None)."""
+    m = (rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    hubs = m.where(F.col("n") > cutoff).select(key)
+    return m, m.select(key, "m"), None if hubs.isEmpty() else hubs
+
+
+def _large_star(e: DataFrame, cutoff: int):
     both = e.select(F.col("child").alias("u"), F.col("parent").alias("v")).unionByName(
         e.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-    m = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (both.join(m, "u").where(F.col("v") > F.col("u"))
-                .select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct())
+    held, m, hubs = _minima(both, "u", "v", cutoff)
+    m = m.select("u", F.least("m", "u").alias("m"))
+    up = join_split(both.where(F.col("v") > F.col("u")), m, hubs, "u")
+    return up.select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct(), held
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    m = e.groupBy("child").agg(F.min("parent").alias("m"))
-    j = e.join(m, "child")
+def _small_star(e: DataFrame, cutoff: int):
+    held, m, hubs = _minima(e, "child", "parent", cutoff)
+    j = join_split(e, m, hubs, "child")
     moved = j.where(F.col("parent") != F.col("m")).select(
         F.col("parent").alias("child"), F.col("m").alias("parent"))
-    return moved.unionByName(j.select("child", F.col("m").alias("parent"))).distinct()
+    return moved.unionByName(j.select("child", F.col("m").alias("parent"))).distinct(), held
 
 
 def _is_stars(e: DataFrame) -> bool:
@@ -49,11 +65,18 @@ def star_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
              .select(F.greatest("src", "dst").alias("child"), F.least("src", "dst").alias("parent"))
              .distinct())
     # A round never adds edges: partitions for the first count are enough for all.
-    parts, rounds = e.count() // EDGES_PER_PARTITION + 1, 0
+    count = e.count()
+    parts, rounds = count // EDGES_PER_PARTITION + 1, 0
+    cutoff = hub_cutoff(count, partitions(e))
     while not _is_stars(e):
         if rounds == max_rounds:
             raise RuntimeError(f"components not complete after {max_rounds} rounds")
-        e = cut_lineage(_small_star(_large_star(e)).coalesce(parts))
+        large, held = _large_star(e, cutoff)
+        large = cut_lineage(large.coalesce(parts))
+        held.unpersist()
+        small, held = _small_star(large, cutoff)
+        e = cut_lineage(small.coalesce(parts))
+        held.unpersist()
         rounds += 1
     return e.select(F.col("child").alias("id"), F.col("parent").alias("component"))
 
