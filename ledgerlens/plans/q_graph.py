@@ -349,3 +349,12 @@ LEFT JOIN (SELECT * FROM bm WHERE label = 'device') v ON s.end_node_id = v.id"""
 def q_append_transaction_metrics(spark, d):
     sig, g, metrics = _transaction_metrics(spark, d)
     return join_bipartite_metrics(sig, metrics, g.nodes)
+
+
+# No oracle: which of two equally good communities a node joins is Louvain's own choice.
+@register("append_transaction_communities")
+def q_append_transaction_communities(spark, d):
+    sig = signed_transactions(spark, d).select("tx_id", "start_node_id", "end_node_id")
+    g = bipartite_graph(sig, props=[])
+    sizes = join_group_size(louvain(graph_projection(g)), "community", "community_size")
+    return join_bipartite_metrics(sig, sizes, g.nodes)
