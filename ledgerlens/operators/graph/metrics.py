@@ -38,9 +38,10 @@ def node_metrics(graph, *, include_betweenness: bool = True, include_louvain: bo
     out = degree(graph)
     out = out.join(pagerank(graph, max_iter=pagerank_iter), "id")
     out = out.join(hits(graph, iterations=hits_iter), "id")
+    components = cut_lineage(connected_components(graph))
     if include_betweenness:
-        out = out.join(betweenness(graph, **(betweenness_kwargs or {})), "id")
-    out = out.join(join_group_size(connected_components(graph), "component", "wcc_size"), "id")
+        out = out.join(betweenness(graph, components=components, **(betweenness_kwargs or {})), "id")
+    out = out.join(join_group_size(components, "component", "wcc_size"), "id")
     if include_louvain:
         from ledgerlens.operators.graph.louvain import louvain
         out = out.join(join_group_size(louvain(graph, **(louvain_kwargs or {})), "community",

@@ -12,6 +12,7 @@ from ledgerlens.operators.graph.project import one_mode_projection, pivot_sum
 from ledgerlens.operators.numbering import group_number
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans.registry import alias, register
+from ledgerlens.session import cut_lineage
 
 
 def signed_transactions(spark, d):
@@ -358,3 +359,34 @@ def q_append_transaction_communities(spark, d):
     g = bipartite_graph(sig, props=[])
     sizes = join_group_size(louvain(graph_projection(g)), "community", "community_size")
     return join_bipartite_metrics(sig, sizes, g.nodes)
+
+
+# ---- the one-mode projection of all transactions
+ACCOUNT_SQL = "WITH " + fx.PROJ_SQL + """,
+mnodes AS MATERIALIZED (SELECT DISTINCT start_node_id AS id FROM sig),
+madj AS MATERIALIZED (SELECT "start" AS src, "end" AS dst FROM proj UNION ALL SELECT "end", "start" FROM proj),
+mdeg AS (SELECT n.id, CAST(coalesce(c.d, 0) AS DOUBLE) AS degree FROM mnodes n
+         LEFT JOIN (SELECT src, count(*) AS d FROM madj GROUP BY src) c ON n.id = c.src),
+""" + pagerank_sql("mnodes", "madj", "mpr") + ",\n" + hits_sql("mnodes", "madj", "mh") + """
+SELECT d.id, d.degree, round(p.pagerank, 6) AS pagerank, round(h.hits_auth, 6) AS hits_auth,
+       round(h.hits_hub, 6) AS hits_hub
+FROM mdeg d JOIN mpr p ON d.id = p.id JOIN mh h ON d.id = h.id"""
+
+
+def account_graph(spark, d):
+    return graph_projection(account_mono_graph(spark, d), orientation="undirected")
+
+
+@register("account_metrics", sql=ACCOUNT_SQL)
+def q_account_metrics(spark, d):
+    g = account_graph(spark, d)
+    g = Graph(cut_lineage(g.nodes), cut_lineage(g.edges), g.directed)
+    return _r6(degree(g).join(pagerank(g), "id").join(hits(g), "id"), ["pagerank", "hits_auth", "hits_hub"])
+
+
+# No oracle: communities are Louvain's own choice, and SQL has no shortest paths; tests compare with Brandes.
+@register("append_account_metrics")
+def q_append_account_metrics(spark, d):
+    sig = cut_lineage(signed_transactions(spark, d).select("tx_id", "start_node_id", "end_node_id"))
+    g = graph_projection(mono_graph(sig, one_mode_projection(sig)), orientation="undirected")
+    return join_mono_metrics(sig, node_metrics(g)).drop("id")

@@ -208,3 +208,8 @@ def q_rf_random_search(spark, d):
     results, _, _ = rf_random_search(document_features(spark, d), "doc_id", n_iter=20, k=10, repeats=3, seed=2022)
     return results
 
+
+@register("compare_experiments")
+def q_compare_experiments(spark, d):
+    from ledgerlens.plans.experiments import compare_experiments
+    return compare_experiments(spark, d)
