@@ -119,10 +119,14 @@ def _pack_keys(keys: np.ndarray) -> bytes:
     return _planes(np.diff(keys, prepend=keys[:1])) if len(keys) else b"\0"
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where the sorted keys of each bucket begin and end; bucket = key * buckets / 2**64."""
-    firsts = np.array([-(-(b << 64) // buckets) for b in range(buckets)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, firsts), len(keys))
+def _occupied(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """``(bucket, begin, end)`` of the buckets that the sorted keys fall into; bucket = key * buckets / 2**64."""
+    if not len(keys):
+        return []
+    low, high, n = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32), np.uint64(buckets)
+    own = (high * n + (low * n >> np.uint64(32))) >> np.uint64(32)
+    begins = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return list(zip(own[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)]))
 
 
 def _chunks(docs: DataFrame, s: Settings, folds: int, path: str) -> DataFrame:
@@ -188,14 +192,12 @@ def _questions(chunks: DataFrame, s: Settings, buckets: int) -> DataFrame:
                         seen, times = np.unique(keys[train], return_counts=True)
                         counts = np.zeros(len(every), dtype=np.uint64)
                         counts[np.searchsorted(every, seen)] = times
-                    edges = _edges(every, buckets).tolist()
                     rows = {n: [] for n in target.names}
-                    for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
-                        if hi > lo:
-                            for name, v in zip(target.names, (
-                                    chunk, b, k, hi - lo, every[lo:lo + 1].astype("<u8").tobytes(),
-                                    _pack_keys(every[lo:hi]), _planes(counts[lo:hi]))):
-                                rows[name].append(v)
+                    for b, lo, hi in _occupied(every, buckets):
+                        for name, v in zip(target.names, (
+                                chunk, b, k, hi - lo, every[lo:lo + 1].astype("<u8").tobytes(),
+                                _pack_keys(every[lo:hi]), _planes(counts[lo:hi]))):
+                            rows[name].append(v)
                     yield pa.RecordBatch.from_pydict(rows, schema=target)
 
     return chunks.select("chunk", "held", "sizes", "body").mapInArrow(run, schema)

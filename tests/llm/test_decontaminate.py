@@ -79,3 +79,18 @@ def test_empty_tables(spark):
     none = decontaminate.find_hits(docs(spark, rows), bench.limit(0))
     assert {(r.n_hit, r.n_items) for r in none.collect()} == {(0, 0)}
     assert decontaminate.remove_documents(docs(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_index_is_small_and_blocks_are_bounded_by_it(spark):
+    rng = random.Random(3)
+    items = [(str(k), " ".join(f"{rng.getrandbits(40):x}" for _ in range(2000))) for k in range(20)]
+    index = decontaminate.WindowIndex(items, 10)
+    arrays = [index.starts] + [a for w in index.windows.values() for a in (w.hashes, w.places, w.items, w.table)]
+    words = sum(len(t.split()) for _, t in items)
+    assert sum(a.nbytes for a in arrays) <= decontaminate.WORD_BYTES * words
+    assert len(index.text) <= sum(len(t) + 1 for _, t in items)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert decontaminate._dealt(bench, 1 << 30, 300_000)[1] == -(-(words * 32 + sum(len(t) for _, t in items)) // 300_000)
+    rows = [(1, items[3][1][100:900]), (2, "nothing"), (3, items[17][1])]
+    df = docs(spark, rows)
+    assert collected(decontaminate.find_hits(df, bench, max_bytes=600_000)) == brute(rows, items)

@@ -87,3 +87,15 @@ def test_empty_and_all_held_out(spark):
     held = next(i for i in range(100) if fold(i, 10) == 0)
     r = lm.score(docs(spark, [(held, "a b")])).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, r.base_score)
+
+
+def test_buckets_of_keys():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate((rng.integers(0, 2 ** 64 - 1, 300, dtype=np.uint64),
+                                     np.array([0, 1, 2 ** 64 - 1], dtype=np.uint64))))
+    for buckets in (1, 2, 7, 1000, 2 ** 31):
+        want = [int(k) * buckets >> 64 for k in keys]
+        got = [b for b, lo, hi in lm._occupied(keys, buckets) for _ in range(lo, hi)]
+        assert got == want
+    assert lm._occupied(keys[:0], 5) == []
