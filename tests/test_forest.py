@@ -1,9 +1,12 @@
 """The distributed forest: against a plain tree grower, top against bottom, classes, and exact numbers of rows."""
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.model import forest
+from ledgerlens.session import cut_lineage
 
 
 def plain_tree(fit, number, tree, codes, y, w, asked):
@@ -178,3 +181,37 @@ def test_auc_of_groups(spark):
         neg = [s for k, y, s in rows if k == g and not y]
         want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if pos and neg else 0.5
         assert got[g] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("local", [1_000, 40])
+def test_kept_trees_answer_like_those_finished_at_once(spark, tmp_path, monkeypatch, local):
+    from ledgerlens.operators.model import train
+    from ledgerlens.operators.model.importance import feature_importance
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 9, (200, 3)).astype(float)
+    y = (x[:, 0] + rng.integers(0, 4, 200) > 6).astype(int)
+    rows = [(int(i), int(v), *map(float, r)) for i, (v, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "id long, label int, a double, b double, c double")
+    feats = train.assemble_features([df], "id", ["a", "b", "c"])
+    real_fit, real_predict = forest.fit_trees, forest.fit_predict
+    monkeypatch.setattr(forest, "fit_trees", lambda *a, **k: real_fit(*a, **(k | {"local_rows": local})))
+    model = train.fit_forest(feats, params={"numTrees": 12, "maxDepth": 40})
+    assert bool(model.top.splits) == (local == 40)
+    loaded = train.model_store(model, str(tmp_path / "model"))
+    got = {r["id"]: (r["p0"], r["p1"]) for r in train.predict_proba(model, feats, "id").collect()}
+    assert got == {r["id"]: (r["p0"], r["p1"]) for r in train.predict_proba(loaded, feats, "id").collect()}
+    keyed = cut_lineage(df.select(F.monotonically_increasing_id().alias("_row"), "id", "label", F.lit(0).alias("m"), "a", "b", "c"))
+    blocks = cut_lineage(forest.to_blocks(keyed, "_row", ["a", "b", "c", "label", "m"]))
+    once = real_predict(blocks, 5, model.borders, [replace(model.fit, everyone=True)], local)
+    names = {r["_row"]: r["id"] for r in keyed.collect()}
+    keys = {r["block"]: np.frombuffer(r["keys"], dtype=np.int64) for r in blocks.collect()}
+    seen = 0
+    for r in once.collect():
+        p = np.frombuffer(r["answers"]).reshape(-1, 2)
+        for at, own in zip(np.frombuffer(r["rows"], dtype=np.int32), p):
+            assert got[names[keys[r["block"]][at]]] == pytest.approx(tuple(own))
+            seen += 1
+    assert seen == 200
+    shares = {r["feature"]: r["importance"] for r in feature_importance(spark, loaded, ["a", "b", "c"]).collect()}
+    assert sum(shares.values()) == pytest.approx(1) and max(shares, key=shares.get) == "a"
+
