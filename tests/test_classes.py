@@ -90,3 +90,16 @@ def test_whole_stars_are_one_community_without_a_round(spark, monkeypatch):
     got = louvain(Graph(nodes, edges.select("src", "dst"))).groupBy("community").count().collect()
     assert {tuple(r) for r in got} == {(0, 200), (200, 201)}
     assert not turns
+
+
+def test_tasks_of_a_projection_grow_with_its_pairs(spark, monkeypatch):
+    """400 rows of one device are 79,800 pairs; few bytes go in, yet no task gets them all."""
+    from pyspark.sql.functions import spark_partition_id
+
+    from ledgerlens.operators.graph import project
+
+    monkeypatch.setattr(project, "PAIRS", 10_000)
+    df = spark.range(400).select(F.col("id").alias("start_node_id"), F.lit(1).alias("end_node_id"))
+    sizes = [r["count"] for r in one_mode_projection(df, block=50).groupBy(spark_partition_id()).count().collect()]
+    assert sum(sizes) == 79_800
+    assert max(sizes) < 15_000
