@@ -25,7 +25,7 @@ from ledgerlens.operators.reduce import explained_variance_cumulative, mca, pca_
 from ledgerlens.operators.stored import apply_pca, store_pca
 from ledgerlens.plans import fixtures as fx
 from ledgerlens.plans.registry import register
-from ledgerlens.session import stage_path
+from ledgerlens.session import cut_lineage, stage_path
 
 PAIR = ["l_quantity", "l_extendedprice"]
 
@@ -165,7 +165,7 @@ EMB_CATS = ["o_orderpriority", "p_brand", "p_size"]
         CAST(greatest(least((n + 1) // 2, 16), 2) AS INT) AS dim
         FROM n_{c}, range(1000) t(i) WHERE i < n OR (i = n AND has_null)""" for c in EMB_CATS))
 def q_embedding_shape(spark, d):
-    wide = fx.wide_transactions(spark, d).select("tx_id", "is_fraud", *EMB_CATS)
+    wide = cut_lineage(fx.wide_transactions(spark, d).select("tx_id", "is_fraud", *EMB_CATS))  # read twice
     coded, _ = label_encode(wide, EMB_CATS)
     out = learn_embedding(coded, EMB_CATS, "is_fraud", max_iter=5, seed=2022)
     return out.select("column", "code", F.size("vec").alias("dim"))

@@ -102,3 +102,57 @@ def test_embedding_keeps_every_row(spark):
     sizes = {(r.column, r.code): len(r.vec) for r in emb.collect()}
     assert sizes == {("a", c): 3 for c in (0, 1, 2, 3, 4, None)} | {("b", c): 2 for c in (0, 1, 2)}
     assert apply_embedding(df, emb, ["a", "b"]).count() == 300
+
+
+def _counted(spark, df):
+    """``df`` with an accumulator of the rows that were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    return df.mapInPandas(run, df.schema), seen
+
+
+def test_embedding_equals_the_factorization_machine_of_spark(spark):
+    import numpy as np
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    from ledgerlens.operators.embed import learn_embedding
+    df = spark.range(500).selectExpr("if(id % 11 = 0, null, cast(id * id % 40 as int)) as a",
+                                     "cast(id % 3 as int) as b", "cast(id % 7 < 3 as int) as y")
+    emb = {(r.column, r.code): r.vec for r in learn_embedding(df, ["a", "b"], "y", max_iter=30, seed=5).collect()}
+    top = df.agg({"a": "max"}).first()[0]
+    data = df.fillna({"a": top + 1}).withColumn("y", df.y.cast("double"))
+    hot = OneHotEncoder(inputCols=["a", "b"], outputCols=["ha", "hb"], dropLast=False).fit(data).transform(data)
+    model = FMClassifier(featuresCol="x", labelCol="y", factorSize=len(emb["a", 0]), maxIter=30, seed=5,
+                         stepSize=0.05).fit(VectorAssembler(inputCols=["ha", "hb"], outputCol="x").transform(hot))
+    want = model.factors.toArray()[:top + 2]
+    got = np.array([emb.get(("a", c), emb["a", 0]) for c in [*range(top + 1), None]])
+    kept = [c for c in range(top + 1) if ("a", c) in emb] + [top + 1]
+    assert np.allclose(got[kept] @ got[kept].T, (want @ want.T)[kept][:, kept], atol=1e-4)
+
+
+def test_embedding_reads_its_input_once(spark):
+    from ledgerlens.operators.embed import learn_embedding
+    df, seen = _counted(spark, spark.range(90).selectExpr("cast(id % 4 as int) as a", "cast(id % 2 as int) as y").coalesce(1))
+    learn_embedding(df, ["a"], "y", max_iter=2).collect()
+    assert seen.value == 90
+
+
+def test_embedding_of_bad_labels_is_refused(spark):
+    import pytest
+    from ledgerlens.operators.embed import learn_embedding
+    for y in (None, 2, -1):
+        with pytest.raises(Exception):
+            learn_embedding(spark.createDataFrame([(0, 1), (1, y)], "a int, y int"), ["a"], "y", max_iter=1).collect()
+
+
+def test_a_small_dictionary_does_not_shuffle_the_rows(spark):
+    from ledgerlens.operators.encode import label_encode
+    df = spark.createDataFrame([(1, "x", None), (2, "y", 7), (3, None, 5), (4, "x", 7)], "id int, a string, b int")
+    coded, _ = label_encode(df, ["a", "b"])
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(map(tuple, coded.collect())) == [(1, 0, None), (2, 1, 1), (3, None, 0), (4, 0, 1)]
