@@ -151,6 +151,51 @@ def test_projection_of_a_hot_device(spark):
     assert got.agg(F.min("strength"), F.max("strength")).first() == (1, 1)
 
 
+def test_projection_adds_up_without_shuffling_pairs(spark, monkeypatch):
+    """Lists travel, not pairs; with hot devices and accounts of many pairs the sums are those of a dense product."""
+    from ledgerlens.operators.graph import project
+
+    monkeypatch.setattr(project, "PAIRS", 40)
+    rng = np.random.default_rng(1)
+    rows = [(f"a{int(a)}", int(v)) for a, v in zip(rng.integers(0, 30, 300), rng.integers(0, 12, 300))]
+    rows += [("a0", 100 + i) for i in range(40)] + [(f"a{i % 30}", 100 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "start_node_id string, end_node_id int")
+    accts, devs = sorted({a for a, _ in rows}), sorted({v for _, v in rows})
+    m = np.zeros((len(accts), len(devs)), dtype=int)
+    for a, v in rows:
+        m[accts.index(a), devs.index(v)] += 1
+    dense = m @ m.T
+    expect = {(accts[i], accts[j], int(dense[i, j])) for i in range(len(accts)) for j in range(i + 1, len(accts)) if dense[i, j]}
+    for block in (1000, 4):
+        got = one_mode_projection(df, block=block)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(start" not in plan
+        rows_of = [tuple(r) for r in got.collect()]
+        assert len(rows_of) == len(expect) and set(rows_of) == expect
+
+
+def test_pair_sums_of_accounts_that_span_batches(monkeypatch):
+    import pyarrow as pa
+
+    from ledgerlens.operators.graph import project
+
+    monkeypatch.setattr(project, "HELD", 5)
+    rng = np.random.default_rng(2)
+    rows = [(a, int(rng.integers(1, 4)), [int(x) for x in rng.integers(100, 104, rng.integers(0, 4))])
+            for a in sorted(rng.integers(0, 6, 60).tolist())]
+    expect = {}
+    for a, n, who in rows:
+        for b in who:
+            expect[a, b] = expect.get((a, b), 0) + n * 2
+    for width in (1, 3, 7, 60):
+        batches = [pa.RecordBatch.from_pydict({"a1": [r[0] for r in own], "n1": pa.array([r[1] for r in own], pa.int64()),
+                                               "who": pa.array([r[2] for r in own], pa.list_(pa.int64())),
+                                               "often": pa.array([[2] * len(r[2]) for r in own], pa.list_(pa.int64()))})
+                   for own in (rows[k:k + width] for k in range(0, len(rows), width))]
+        got = [x for b in project._added(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(got) == len(expect) and {(a, b): n for a, b, n in got} == expect
+
+
 def test_mostly_null_keys(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 5 == 0, F.col("id") % 35).alias("acc"),
                                   F.col("id").cast("string").alias("dev"))
