@@ -243,8 +243,9 @@ def links(fps: DataFrame, tau: int = MAX_BITS, m: int = PARTS) -> DataFrame:
         fps.select("_fp").join(two, "_fp", "left").select("_fp", F.least("_fp", F.coalesce("_group", "_fp")).alias("_group")))
     # Few bytes, many probes: the planner would put them into very few tasks.
     spread = grouped.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
+    # By their input's few bytes the probes, many for each fingerprint, would pass for a small table to broadcast.
     found = grouped.mapInPandas(index, rows).join(
-        spread.mapInPandas(probes, "_key long, _pfp long, _pgroup long"), "_key").where(
+        spread.mapInPandas(probes, "_key long, _pfp long, _pgroup long").hint("merge"), "_key").where(
         (F.col("_fp") > F.col("_pfp")) & (F.col("_group") != F.col("_pgroup")) & (apart("_fp", "_pfp") <= tau))
     edges = (found.select(F.col("_group").alias("src"), F.col("_pgroup").alias("dst"))
              .unionByName(grouped.where("_fp != _group").select(F.col("_fp").alias("src"), F.col("_group").alias("dst"))))

@@ -110,3 +110,17 @@ def test_empty_table(spark):
     df = docs(spark, []).limit(0)
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.keep_one(df).count() == 0
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    """A fingerprint makes many probes: a plan that goes by their input's bytes would send them all to the driver."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {f - (1 << 64) if f >> 63 else f for b in base for f in (b, near(rng, b, 4))}
+    seen, real = [], simhash.star_components
+    monkeypatch.setattr(simhash, "star_components", lambda e: seen.append(e) or real(e))
+    got = simhash.links(spark.createDataFrame([(f,) for f in fps], "_fp long")).collect()
+    assert len(got) == len(fps)
+    seen[0].collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [_key" in plan and "BroadcastHashJoin [_key" not in plan
